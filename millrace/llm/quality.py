@@ -88,7 +88,9 @@ def frequent_lines(docs: DataFrame, max_kins: int = MAX_KINS) -> DataFrame:
     """``key`` of each (host, normalised line) above the limit, with n_docs and n_kins."""
     base = docs.select(F.col("source"), text_of().alias("t"))
     base = base.select("source", _normal_lines("t").alias("lines"), words_of(F.col("t")).alias("w"))
-    keyed = base.select(kin(F.col("w")).alias("kin"), F.explode(F.array_distinct(F.transform("lines", lambda x: _key(x)))).alias("key"))
+    # the kin is taken in a projection of its own: beside explode it would be taken again for each line
+    base = base.select(kin(F.col("w")).alias("kin"), F.array_distinct(F.transform("lines", _key)).alias("keys"))
+    keyed = base.select("kin", F.explode("keys").alias("key"))
     by_kin = keyed.groupBy("key", "kin").agg(F.count(F.lit(1)).alias("n"))
     return by_kin.groupBy("key").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_kins")).where((F.col("n_kins") > max_kins) & (F.col("n_kins") * 2 >= F.col("n_docs")))
 
