@@ -103,13 +103,14 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
 
 
-def _masked(text: Column) -> Column:
-    """Every base match, failing ones too, as blanks of its length."""
+def _masked(rows: DataFrame, name: str) -> DataFrame:
+    """Every base match in the column, failing ones too, as blanks of its length; a projection for each kind keeps the expressions small."""
     for k, pattern in enumerate(_PATTERNS):
+        text = F.col(name)
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         blank = F.zip_with(F.split(text, pattern), hits, lambda b, h: F.concat(b, F.coalesce(F.repeat(F.lit(" "), F.length(h)), F.lit(""))))
-        text = F.when(_gates(text)[k], F.array_join(blank, "")).otherwise(text)
-    return text
+        rows = rows.withColumn(name, F.when(_gates(text)[k], F.array_join(blank, "")).otherwise(text))
+    return rows
 
 
 def _term(word: Column) -> Column:
@@ -120,8 +121,8 @@ def near_terms(docs: DataFrame) -> DataFrame:
     """(c1, c2, kin, ent, term, s, e): each term near an entity of each distinct text; all but s and e are hashes."""
     c1, c2 = content_id(F.col("t"))
     rows = docs.select(text_of().alias("t")).withColumn("spans", base_spans(F.col("t"))).where(F.size("spans") > 0)
-    rows = rows.select("t", "spans", c1.alias("c1"), c2.alias("c2"), kin(words_of(F.col("t"))).alias("kin"), _masked(F.col("t")).alias("m"))
-    rows = rows.select("c1", "c2", "kin", "m", F.length("m").alias("n"), F.explode("spans").alias("x"))
+    rows = rows.select("spans", c1.alias("c1"), c2.alias("c2"), kin(words_of(F.col("t"))).alias("kin"), F.col("t").alias("m"))
+    rows = _masked(rows, "m").select("c1", "c2", "kin", "m", F.length("m").alias("n"), F.explode("spans").alias("x"))
     rows = rows.select("c1", "c2", "kin", "m", "n", "x", F.greatest(F.lit(0), F.col("x.s") - WINDOW).alias("a"), F.least(F.col("n"), F.col("x.e") + WINDOW).alias("b"))
     rows = rows.withColumn("w", F.substring(F.col("m"), F.col("a") + 1, F.col("b") - F.col("a"))).drop("m")
     word = r"[^\x20\x09-\x0D]++"
@@ -170,6 +171,10 @@ def term_spans(docs: DataFrame) -> DataFrame:
     return cut(found.groupBy("c1", "c2").agg(F.collect_list(span).alias("terms")))
 
 
+def _count(k: int) -> Column:
+    return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     terms = term_spans(docs.select("text"))
@@ -178,7 +183,7 @@ def find(docs: DataFrame) -> DataFrame:
     with_some = rows.where(F.size("base") > 0).select("doc_id", "base", c1.alias("c1"), c2.alias("c2")).join(terms, ["c1", "c2"], "left")
     without = rows.where(F.size("base") == 0).select("doc_id", "base").withColumn("terms", F.lit(None).cast(_SPAN))
     out = with_some.select("doc_id", "base", "terms").unionByName(without)
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:-1])]
+    counts = [_count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:-1])]
     every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "terms")))
     return out.select(
         "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term")
