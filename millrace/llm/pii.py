@@ -178,11 +178,11 @@ def _count(k: int) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     terms = term_spans(docs.select("text"))
-    rows = docs.select("doc_id", text_of().alias("t")).withColumn("base", base_spans(F.col("t")))
     c1, c2 = content_id(F.col("t"))
-    with_some = rows.where(F.size("base") > 0).select("doc_id", "base", c1.alias("c1"), c2.alias("c2")).join(terms, ["c1", "c2"], "left")
-    without = rows.where(F.size("base") == 0).select("doc_id", "base").withColumn("terms", F.lit(None).cast(_SPAN))
-    out = with_some.select("doc_id", "base", "terms").unionByName(without)
+    rows = cut(docs.select("doc_id", text_of().alias("t")).select("doc_id", c1.alias("c1"), c2.alias("c2"), base_spans(F.col("t")).alias("base")))
+    with_some = rows.where(F.size("base") > 0).join(terms, ["c1", "c2"], "left")
+    without = rows.where(F.size("base") == 0).withColumn("terms", F.lit(None).cast(_SPAN))
+    out = with_some.select("doc_id", "base", "terms").unionByName(without.select("doc_id", "base", "terms"))
     counts = [_count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:-1])]
     every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "terms")))
     return out.select(
