@@ -70,6 +70,17 @@ def lookup(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
+def where_after(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)``, taken after the columns that it names have been computed.
+
+    Spark moves a filter below the projections it can, with the columns' own
+    expressions written into it.  An array function whose lambda reads another
+    computed array would then compute that array again for each element.
+    """
+    (flag,) = fresh(df, "mr_flag")
+    return df.withColumn(flag, F.explode(F.when(condition, F.array(F.lit(True))))).drop(flag)
+
+
 def content_id(*cols: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes that together name the content of ``cols``; nulls differ from every value."""
     marked = [x for c in cols for x in (c.isNull(), c)]

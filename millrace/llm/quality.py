@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import content_id, cut, fresh, kin, table, text_of, words_of
+from millrace.llm.common import content_id, cut, fresh, kin, table, text_of, where_after, words_of
 
 MAX_KINS = 20
 MIN_WORDS = 10
@@ -147,7 +147,8 @@ def clean(docs: DataFrame, max_kins: int = MAX_KINS) -> DataFrame:
     measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     plain = docs.withColumns({k1: c1, k2: c2})
     inner = plain.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(k1), F.col(k2))
-    inner = base_metrics(inner, F.coalesce(F.col("row.text"), F.lit(""))).where(~F.col("base_failed")).drop(*measured[1:])
+    inner = base_metrics(inner, F.coalesce(F.col("row.text"), F.lit("")))
+    inner = where_after(inner, ~F.col("base_failed")).drop(*measured[1:])
     found = inner.join(removed, [k1, k2], "left").where(~_depleted(F.col("n_words"), F.col(gone)))
     left = F.array_join(F.filter(_lines(F.col("row.text")), lambda x, i: ~F.array_contains(at, i)), "\n")
     text = F.when(F.col(at).isNull(), F.col("row.text")).otherwise(left)
