@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, packing, quality, simhash
+from millrace.llm import mixing, packing, pii, quality, simhash
 from millrace.llm.common import cut, table
 
 
@@ -16,6 +16,10 @@ def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicate(docs)
 
 
+def _pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.sanitise(docs)
+
+
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.sample(docs)
 
@@ -28,6 +32,7 @@ def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", _quality),
     ("simhash_near_dedup", _near_dedup),
+    ("pii", _pii),
     ("mixing", _mixing),
     ("packing", _packing),
 ]
