@@ -58,7 +58,7 @@ def fold(e: Expr, start: Column, step: Callable[[Column, Column], Column], order
 def fold_first(e: Expr, step: Callable[[Column, Column], Column], order: Expr | None = None) -> Column:
     """A left fold from the first value on."""
     gathered = values(e) if order is None else sorted_by(e, order)
-    return F.reduce(F.slice(gathered, 2, 2**31 - 1), F.get(gathered, F.lit(0)), step)
+    return F.reduce(F.slice(gathered, 2, F.greatest(F.size(gathered), F.lit(1))), F.get(gathered, F.lit(0)), step)
 
 
 def scan(e: Expr, start: Column, step: Callable[[Column, Column], Column], order: Expr) -> Column:

@@ -1,7 +1,15 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+# Python workers import the library and the tests' own classes
+HERE = Path(__file__).parent
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (str(HERE.parent), str(HERE), str(HERE / "llm"), os.environ.get("PYTHONPATH"))))
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (

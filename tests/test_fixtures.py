@@ -1,0 +1,435 @@
+"""The literal inputs of FIXTURES.md with their expected results, as multisets."""
+
+from collections import Counter
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.dataset import Dataset
+from millrace.functions import reducers as R
+from millrace.functions.accumulators import Counter as Count_
+from millrace.functions.accumulators import Histogram, observed
+from millrace.functions.windows import Count, Custom, Global, Session, Sliding, Tumbling
+from millrace.operators.elementwise import assign_event_time, filter_by, flat_map, map_elements, map_partitions, split
+from millrace.operators.joins import WindowingRequired, full_join, join, left_join, right_join, validate
+from millrace.operators.keyed import count_by_key, reduce_by_key, reduce_to_many, reduce_window, running, sum_by_key, top_per_key
+from millrace.operators.sets import distinct, union
+from millrace.operators.state import State, reduce_state_by_key
+from millrace.sources.readers import from_rows
+
+S, MS, H = timedelta(seconds=1), timedelta(milliseconds=1), timedelta(hours=1)
+
+
+def of(spark, values, schema="e int"):
+    return from_rows(spark, [v if isinstance(v, tuple) else (v,) for v in values], schema)
+
+
+def timed(spark, rows, schema):
+    """The column ``t`` holds epoch milliseconds."""
+    return assign_event_time(from_rows(spark, rows, schema), "t")
+
+
+def bag(ds, *cols):
+    return Counter(tuple(r) for r in ds.df.select(*(cols or ds.payload)).collect())
+
+
+def ms(c):
+    return F.unix_millis(c)
+
+
+def start_end(ds, *cols):
+    return Counter(tuple(r) for r in ds.df.select(*cols, ms("window.start"), ms("window.end")).collect())
+
+
+def test_a1_filter(spark):
+    assert bag(filter_by(of(spark, range(1, 15)), "e % 2 = 0")) == Counter((i,) for i in range(2, 15, 2))
+
+
+def test_a2_flat_map(spark):
+    out = flat_map(of(spark, [1, 2, 3, 4, 3, 2, 1]), F.sequence(F.lit(1), F.col("e")))
+    assert bag(out) == Counter((i,) for e in (1, 2, 3, 4, 3, 2, 1) for i in range(1, e + 1))
+
+
+def test_a3_map(spark):
+    assert bag(map_elements(of(spark, range(1, 8)), F.col("e").cast("string"))) == Counter((str(i),) for i in range(1, 8))
+
+
+def test_a4_histogram(spark):
+    seen = Histogram(spark)
+
+    def each(parts):
+        for rows in parts:
+            for e in rows["e"]:
+                seen.add(int(e))
+            yield rows
+
+    values = [1, 2, 3, 1, 2, 2, 10, 20, 10]
+    assert bag(map_partitions(of(spark, values), each, "e int")) == Counter((v,) for v in values)
+    assert seen.value == {1: 2, 2: 3, 3: 1, 10: 2, 20: 1}
+
+
+def test_a5_counters(spark):
+    ds, seen = observed(of(spark, [1, 2, 3, 4, 5, 6, 0, 10, 20]), "a5", input=F.count(F.lit(1)), sum=F.sum("e"))
+    ds.df.collect()
+    assert seen.get == {"input": 9, "sum": 51}
+    n = Count_(spark)
+    n.increment(3)
+    assert n.value == 3
+
+
+def test_a6_split(spark):
+    halves = split(of(spark, [1, 2, None, 4]), F.col("e") % 2 == 0)
+    assert bag(halves.positive) == Counter([(2,), (4,)]) and bag(halves.negative) == Counter([(1,), (None,)])
+
+
+@pytest.mark.parametrize("sizes", [(6, 6), (6, 6, 6), (3, 3, 3, 3, 3)])
+def test_b_union(spark, sizes):
+    parts, at = [], 1
+    for k, n in enumerate(sizes):
+        parts.append(from_rows(spark, [(i,) for i in range(at, at + n)], "e int", partitions=k + 1))
+        at += n
+    assert bag(union(*parts)) == Counter((i,) for i in range(1, at))
+
+
+def test_union_needs_two(spark):
+    with pytest.raises(ValueError):
+        union(of(spark, [1]))
+
+
+def test_c1_distinct(spark):
+    assert bag(distinct(of(spark, [1, 2, 3, 3, 2, 1]))) == Counter([(1,), (2,), (3,)])
+
+
+def test_c2_distinct_windowed(spark):
+    ds = timed(spark, [(1, 100), (2, 300), (3, 1200), (3, 1500), (2, 2200), (1, 2700)], "v int, t long")
+    assert bag(distinct(ds, {"v": "v"}, Tumbling(S)), "v") == Counter([(1,), (2,), (3,), (2,), (1,)])
+
+
+def test_c3_distinct_in_one_window(spark):
+    rows = [(v, 100 * (i + 1)) for i, v in enumerate([1, 2, 3, 3, 2, 1])] * 2
+    assert bag(distinct(timed(spark, rows, "v int, t long"), {"v": "v"}, Tumbling(S)), "v") == Counter([(1,), (2,), (3,)])
+
+
+D2 = [(1, 200), (2, 500), (1, 800), (3, 1400), (3, 1200), (4, 1800), (5, 2100), (5, 2300), (5, 2700), (5, 3500), (5, 3300), (6, 3800), (7, 4400), (7, 4500), (10, 4600), (10, 5100), (9, 5200), (9, 5500), (9, 6300), (9, 6700)]
+
+
+def test_d1_count(spark):
+    rows = [(e, 0) for e in (1, 2, 3, 4, 5, 6, 7, 10, 9, 8, 7, 6, 5, 4)]
+    out = count_by_key(timed(spark, rows, "e int, t long"), "e", Tumbling(S))
+    assert bag(out, "key", "value") == Counter([(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2), (7, 2), (8, 1), (9, 1), (10, 1)])
+
+
+def test_d2_count(spark):
+    out = count_by_key(timed(spark, D2, "k int, t long"), "k", Tumbling(S))
+    assert bag(out, "key", "value") == Counter([(1, 2), (2, 1), (3, 2), (4, 1), (5, 3), (5, 2), (6, 1), (7, 2), (10, 1), (10, 1), (9, 2), (9, 2)])
+
+
+def test_d3_sum(spark):
+    assert bag(sum_by_key(of(spark, range(1, 10)), F.col("e") % 2, "e")) == Counter([(0, 20), (1, 25)])
+    assert bag(sum_by_key(of(spark, range(1, 10)), F.col("e") % 2)) == Counter([(0, 4), (1, 5)])
+
+
+D4 = [("one", "one-ZZZ-1", 1), ("one", "one-ZZZ-2", 2), ("one", "one-3", 3), ("one", "one-999", 999), ("two", "two", 10), ("three", "1-three", 1), ("three", "2-three", 0), ("one", "one-XXX-100", 100), ("three", "3-three", 2)]
+
+
+def test_d4_top(spark):
+    out = top_per_key(of(spark, D4 + [("one", None, 10_000)], "k string, v string, s int"), "k", "v", "s")
+    assert bag(out, "key", "value", "score") == Counter([("one", "one-999", 999), ("two", "two", 10), ("three", "3-three", 2)])
+
+
+def test_e1_count_window_sets(spark):
+    out = reduce_by_key(of(spark, [1, 2, 3, 4, 5, 6, 7, 9]), F.col("e") % 2, {"v": R.value_set("e")}, Count(3, by=("e",)))
+    assert Counter((r.key, tuple(r.v)) for r in out.df.collect()) == Counter([(0, (2, 4, 6)), (1, (1, 3, 5)), (1, (7, 9))])
+
+
+def test_e2_sorted_in_count_windows(spark):
+    ds = of(spark, [(i, e) for i, e in enumerate(range(9, 0, -1))], "i int, e int")
+    out = reduce_by_key(ds, F.col("e") % 2, {"v": R.sorted_values("e")}, Count(3, by=("i",)))
+    assert Counter((r.key, tuple(r.v)) for r in out.df.collect()) == Counter([(0, (2,)), (0, (4, 6, 8)), (1, (1, 3)), (1, (5, 7, 9))])
+
+
+def test_e3_running_sums(spark):
+    ds = of(spark, [1, 2, 3, 4, 5, 6, 7, 9])
+    out = running(ds, F.col("e") % 2, {"v": F.sum("e")}, ["e"], Count(3, by=("e",)))
+    assert bag(out, "key", "v") == Counter([(0, 2), (0, 6), (0, 12), (1, 1), (1, 4), (1, 9), (1, 7), (1, 16)])
+    steps = reduce_to_many(ds, F.col("e") % 2, R.scan("e", F.lit(0), lambda a, e: a + e, "e"), Count(3, by=("e",)))
+    assert bag(steps, "key", "value") == bag(out, "key", "v")
+
+
+E4 = [(1, 300), (2, 600), (3, 900), (2, 1300), (3, 1600), (1, 1900), (3, 2300), (2, 2600), (1, 2900), (2, 3300), (2, 300), (4, 600), (3, 900), (4, 1300), (2, 1600), (3, 1900), (4, 2300), (1, 2600), (3, 2900), (4, 3300), (3, 3600)]
+
+
+def test_e4_count(spark):
+    out = count_by_key(timed(spark, E4, "k int, t long"), "k", Tumbling(S))
+    want = [[(2, 2), (4, 1), (1, 1), (3, 2)], [(2, 2), (4, 1), (1, 1), (3, 2)], [(2, 1), (4, 1), (1, 2), (3, 2)], [(2, 2), (4, 1), (3, 1)]]
+    got = start_end(out, "key", "value")
+    by_hand = Counter()
+    for (k, t) in E4:
+        by_hand[(k, t // 1000)] += 1
+    assert got == Counter((k, n, s * 1000, s * 1000 + 1000) for (k, s), n in by_hand.items())
+    assert sum(map(len, want)) == len(by_hand)
+
+
+def test_e5_custom_window(spark):
+    values = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+    out = reduce_by_key(of(spark, values), F.col("e") % 3, {"n": R.count()}, Custom(F.floor(F.col("e") / 4)))
+    want = {0: [(0, 1), (1, 1), (2, 1)], 1: [(0, 2), (1, 3), (2, 2)], 2: [(0, 2), (1, 2), (2, 3)], 3: [(0, 2), (1, 1), (2, 1)]}
+    assert bag(out, "window", "key", "n") == Counter((w, k, n) for w, x in want.items() for k, n in x)
+
+
+def test_e6_word_count(spark):
+    words = ["one"] * 5 + ["two"] * 4 + ["three"] * 3 + ["four"] * 2
+    assert bag(count_by_key(of(spark, words, "w string"), "w")) == Counter([("one", 5), ("two", 4), ("three", 3), ("four", 2)])
+
+
+def test_e7_e8_sorted_values(spark):
+    ds = of(spark, [(k, v) for k in ("one", "two", "three") for v in (3, 2, 1)], "k string, v long")
+    out = reduce_by_key(ds, "k", {"v": R.sorted_values("v")})
+    assert {r.key: r.v for r in out.df.collect()} == dict.fromkeys(("one", "two", "three"), [1, 2, 3])
+    two = reduce_to_many(ds, "k", F.slice(R.sorted_values("v"), 1, 2))
+    assert bag(two, "key", "value") == Counter((k, v) for k in ("one", "two", "three") for v in (1, 2))
+
+
+def test_e9_count_windows_of_sums(spark):
+    rows = [("a", 20), ("c", 3000), ("b", 10), ("b", 100), ("a", 4000), ("c", 300), ("b", 1000), ("b", 50000), ("a", 100000), ("a", 800), ("a", 80)]
+    ds = of(spark, [(i, *r) for i, r in enumerate(rows)], "i int, k string, v long")
+    out = reduce_by_key(ds, "k", {"v": R.sum_of("v")}, Count(3, by=("i",)))
+    assert bag(out, "key", "v") == Counter([("a", 104020), ("a", 880), ("b", 1110), ("b", 50000), ("c", 3300)])
+
+
+def test_e10_output_time(spark):
+    ds = timed(spark, [(1, 10123), (2, 11234), (3, 12345), (4, 21456)], "v int, t long")
+    first = reduce_window(ds, {"v": R.sum_of("v")}, Tumbling(5 * S))
+    assert bag(first.having(first.df.select("v", (F.unix_micros("ts") + 1).alias("t"))), "v", "t") == Counter([(6, 15_000_000), (4, 25_000_000)])
+    again = reduce_window(first, {"v": R.sum_of("v")}, Tumbling(5 * S))
+    assert bag(again, "v") == Counter([(6,), (4,)])
+
+
+def test_e11_fold(spark):
+    ds, seen = observed(of(spark, [1, 2, 3, 4, 5]), "e11", evens=F.count_if(F.col("e") % 2 == 0), odds=F.count_if(F.col("e") % 2 == 1))
+    out = reduce_by_key(ds, F.col("e") % 2, {"v": R.fold("e", F.lit(0), lambda a, e: a + e), "w": R.fold_first("e", lambda a, e: a + e)})
+    assert bag(out, "key", "v", "w") == Counter([(1, 9, 9), (0, 6, 6)]) and seen.get == {"evens": 2, "odds": 3}
+
+
+def test_e12_e13_whole_window(spark):
+    ds = timed(spark, [(e, 1000 * e) for e in range(1, 11)], "e int, t long")
+    first = reduce_window(ds, {"v": R.sum_of("e")}, Tumbling(H))
+    assert bag(first, "v") == Counter([(55,)]) and bag(reduce_window(first, {"v": R.sum_of("v")}), "v") == Counter([(55,)])
+
+
+def test_reduce_window_of_nothing(spark):
+    assert bag(reduce_window(of(spark, []), {"n": R.count()}, Global()), "n") == Counter()
+
+
+class Sorted(State):
+    def __init__(self):
+        self.all = []
+
+    def add(self, element):
+        self.all.append(element["e"])
+
+    def flush(self):
+        return [(i, e) for i, e in enumerate(sorted(self.all))]
+
+
+def test_f1_sorting_state(spark):
+    ds = of(spark, [9, 8, 7, 5, 4, 1, 2, 6, 3, 5])
+    out = reduce_state_by_key(ds, F.lit(""), Sorted, "i long, v long")
+    assert [r.v for r in out.df.orderBy("i").collect()] == [1, 2, 3, 4, 5, 5, 6, 7, 8, 9]
+
+
+F2 = [("1-one", 1), ("2-one", 2), ("1-two", 4), ("1-three", 8), ("1-four", 10), ("2-two", 10), ("1-five", 18), ("2-three", 20), ("1-six", 22), ("1-seven", 23), ("1-eight", 23)]
+
+
+def key():
+    return F.substring("s", 1, 1).cast("int")
+
+
+def name():
+    return F.substring("s", 3, 100)
+
+
+class Counted(State):
+    def __init__(self):
+        self.n = 0
+
+    def add(self, element):
+        self.n += 1
+
+    def flush(self):
+        yield (self.n,)
+
+
+def test_f2_count_state(spark):
+    out = reduce_state_by_key(timed(spark, F2, "s string, t int"), key(), Counted, "n long", Count(3))
+    assert bag(out, "key", "n") == Counter([(1, 3), (1, 3), (1, 2), (2, 3)])
+
+
+class Names(State):
+    def __init__(self):
+        self.all = []
+
+    def add(self, element):
+        self.all.append(element["s"][2:])
+
+    def flush(self):
+        yield (",".join(sorted(self.all)),)
+
+    def merge(self, other):
+        self.all += other.all
+
+
+def listed(ds):
+    return {(r.key, r[1], r[2]): r.v for r in ds.df.select("key", ms("window.start"), ms("window.end"), "v").collect()}
+
+
+def test_f3_time(spark):
+    out = reduce_state_by_key(timed(spark, F2[:9], "s string, t int"), key(), Names, "v string", Tumbling(5 * MS))
+    assert listed(out) == {(1, 0, 5): "one,two", (2, 0, 5): "one", (1, 5, 10): "three", (1, 10, 15): "four", (2, 10, 15): "two", (1, 15, 20): "five", (2, 20, 25): "three", (1, 20, 25): "six"}
+
+
+def test_f4_sliding(spark):
+    rows = [("1-one", 1), ("2-ten", 6), ("1-two", 8), ("1-three", 10), ("2-eleven", 10), ("1-four", 18), ("2-twelve", 24), ("1-five", 22)]
+    out = reduce_state_by_key(timed(spark, rows, "s string, t int"), key(), Names, "v string", Sliding(10 * MS, 5 * MS))
+    assert listed(out) == {
+        (1, -5, 5): "one", (1, 0, 10): "one,two", (1, 5, 15): "three,two", (1, 10, 20): "four,three", (1, 15, 25): "five,four", (1, 20, 30): "five",
+        (2, 0, 10): "ten", (2, 5, 15): "eleven,ten", (2, 10, 20): "eleven", (2, 15, 25): "twelve", (2, 20, 30): "twelve",
+    }
+
+
+F5 = {(1, 1, 15): "four,one,three,two", (1, 18, 27): "five,six", (2, 2, 7): "one", (2, 10, 15): "two", (2, 20, 25): "three"}
+
+
+def test_f5_f6_session(spark):
+    ds = timed(spark, F2[:9], "s string, t int")
+    assert listed(reduce_state_by_key(ds, key(), Names, "v string", Session(5 * MS))) == F5
+    native = reduce_by_key(ds, key(), {"v": F.array_join(R.value_set(name()), ",")}, Session(5 * MS))
+    assert listed(native) == F5
+
+
+def test_session_gap_is_strict(spark):
+    ds = timed(spark, [("a", 0), ("a", 5), ("a", 10), ("b", 0), ("b", 4)], "k string, t int")
+    want = Counter([("a", 1, 0, 5), ("a", 1, 5, 10), ("a", 1, 10, 15), ("b", 2, 0, 9)])
+    assert start_end(count_by_key(ds, "k", Session(5 * MS)), "key", "value") == want
+    assert start_end(count_by_key(Session(5 * MS).assign(ds, ["k"]), "k"), "key", "value") == want
+
+
+def test_f7_hours(spark):
+    ds = timed(spark, [(s * 1000,) for s in (0, 1, 3599, 3599, 3600, 3600, 7199)], "t long")
+    assert start_end(reduce_window(ds, {"n": R.count()}, Tumbling(H)), "n") == Counter([(4, 0, 3_600_000), (3, 3_600_000, 7_200_000)])
+
+
+F8 = [(10, 10, "F", "banana"), (10, 20, "F", "banana"), (10, 25, "F", "orange"), (10, 35, "F", "apple"), (11, 15, "F", "banana"), (11, 15, "F", "orange"), (10, 40, "V", "carrot"), (10, 45, "V", "cucumber"), (10, 45, "V", "cucumber"), (10, 50, "V", "apple"), (11, 20, "V", "carrot"), (11, 25, "V", "carrot")]
+
+
+def test_f8_distinct_then_count(spark):
+    rows = [(datetime(2016, 12, 19, h, m, tzinfo=timezone.utc), k, n) for h, m, k, n in F8]
+    ds = assign_event_time(from_rows(spark, rows, "t timestamp, type string, name string"), "t")
+    out = count_by_key(distinct(ds, {"type": "type", "name": "name"}, Tumbling(H)), "type")
+    got = Counter((r.key, r.value, r.hour) for r in out.df.select("key", "value", F.hour("window.end").alias("hour")).collect())
+    assert got == Counter([("F", 3, 11), ("V", 3, 11), ("F", 2, 12), ("V", 1, 12)])
+
+
+L = [1, 2, 3, 0, 4, 3, 2, 1]
+INNER = ["2+12", "2+12", "4+14", "1+11", "1+11", "3+13", "3+13"]
+
+
+def both_sides():
+    return {"out": F.concat(F.coalesce(F.col("l.e").cast("string"), F.lit("null")), F.lit("+"), F.coalesce(F.col("r.e").cast("string"), F.lit("null")))}
+
+
+def sides(spark, r=(11, 12, 13, 14, 15), left=L):
+    return of(spark, left), of(spark, list(r), "e long"), ("e", F.col("e") % 10)
+
+
+def outs(ds):
+    return Counter(r.out for r in ds.df.collect())
+
+
+def test_g1_g4_joins(spark):
+    a, b, on = sides(spark)
+    assert outs(join(a, b, on, both_sides())) == Counter(INNER)
+    assert outs(left_join(a, b, on, both_sides())) == Counter([*INNER, "0+null"])
+    assert outs(right_join(a, b, on, both_sides())) == Counter([*INNER, "null+15"])
+    full = full_join(a, b, on, both_sides())
+    assert outs(full) == Counter([*INNER, "0+null", "null+15"])
+    assert {(r.key, r.out) for r in full.df.collect()} >= {(0, "0+null"), (5, "null+15")}
+
+
+def plan(ds):
+    return ds.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_g5_g7_broadcast(spark):
+    a, b, on = sides(spark, (11, 12, 13, 14, 15, 11))
+    out = left_join(a, b.hinted("fits_in_memory"), on, both_sides())
+    assert "BroadcastHashJoin" in plan(out)
+    assert outs(out) == Counter(["0+null", "2+12", "2+12", "4+14", "3+13", "3+13"] + ["1+11"] * 4)
+    a, b, on = sides(spark)
+    out = right_join(a.hinted("fits_in_memory"), b, on, both_sides())
+    assert "BroadcastHashJoin" in plan(out) and outs(out) == Counter([*INNER, "null+15"])
+    words = from_rows(spark, [("FB",), ("Ea",), ("keyWithoutRightSide",)], "e string")
+    numbers = from_rows(spark, [("FB", 1), ("Ea", 2)], "k string, e int")
+    assert outs(left_join(words, numbers.hinted("fits_in_memory"), ("e", "k"), both_sides())) == Counter(["FB+1", "Ea+2", "keyWithoutRightSide+null"])
+
+
+def test_g8_g10_custom_windows(spark):
+    left = of(spark, [1, 2, 3, 0, 4, 3, 2, 1, 5, 6])
+    right = of(spark, list(range(11, 19)), "e long")
+    w = Custom(F.when(F.col("e") % 2 == 0, 0).otherwise(F.col("e")))
+    on = ("e", F.col("e") % 10)
+    both, lone_l, lone_r = ["2+12", "2+12", "4+14", "6+16"], ["0+null", "1+null", "1+null", "3+null", "3+null", "5+null"], ["null+18", "null+11", "null+13", "null+15", "null+17"]
+    assert outs(full_join(left, right, on, both_sides(), windowing=w)) == Counter(both + lone_l + lone_r)
+    assert outs(left_join(left, right, on, both_sides(), windowing=w)) == Counter(both + lone_l)
+    assert outs(right_join(left, right, on, both_sides(), windowing=w)) == Counter(both + lone_r)
+
+
+@pytest.mark.parametrize("windowing,end", [(Session(10 * MS), 14), (Tumbling(10 * MS), 10)])
+def test_g11_g12(spark, windowing, end):
+    a = timed(spark, [("fi", 1), ("fa", 2)], "e string, t int")
+    b = timed(spark, [("ha", 1), ("ho", 4)], "e string, t int")
+    out = join(a, b, (F.lit(""), F.lit("")), both_sides(), windowing=windowing)
+    assert outs(out) == Counter(["fi+ha", "fi+ho", "fa+ha", "fa+ho"])
+    assert {r[0] for r in out.df.select(ms("window.end")).collect()} == {end}
+
+
+def test_null_keys(spark):
+    a, b = of(spark, [None, 1]), of(spark, [None, 1], "e long")
+    assert outs(join(a, b, ("e", "e"), both_sides())) == Counter(["1+1"])
+    assert outs(join(a, b, ("e", "e"), both_sides(), null_safe=True)) == Counter(["1+1", "null+null"])
+
+
+T, G, C = Tumbling(H), Global(), Count(10, by=("e",))
+
+
+@pytest.mark.parametrize(
+    "left,right,own,fails",
+    [(None, None, None, False), (G, G, None, False), (G, None, None, False), (None, G, None, False), (T, None, None, True), (None, T, None, True), (T, T, None, True), (G, T, None, True),
+     (T, G, None, True), (T, None, T, False), (G, T, T, False), (None, T, G, False), (T, None, C, False), (T, C, G, False), (T, C, T, False)],
+)
+def test_j_windowing_of_joins(left, right, own, fails):
+    if fails:
+        with pytest.raises(WindowingRequired):
+            validate(left, right, own)
+    else:
+        validate(left, right, own)
+
+
+def test_windows_are_checked():
+    for bad in (lambda: Tumbling(timedelta(0)), lambda: Sliding(3 * S, 2 * S), lambda: Count(0), lambda: Session(timedelta(0))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_event_time_is_needed(spark):
+    with pytest.raises(ValueError):
+        count_by_key(of(spark, [1]), "e", Tumbling(S))
+
+
+def test_hints(spark):
+    ds = of(spark, [1, 2]).hinted("expensive")
+    assert ds.df.storageLevel.useMemory
+    ds.df.unpersist()
+    assert of(spark, [1]).apply_if(False, lambda d: d, lambda d: filter_by(d, "e > 1")).df.count() == 0
+    assert isinstance(of(spark, [1]).transform(lambda d: d), Dataset)
