@@ -25,6 +25,7 @@ texts; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -61,6 +62,9 @@ _SAYS = frozenset(
     comment comments commentlist disqus respond replies reply discussion
     share sharing social related recommended recommendations pagination pager widget widgets""".split()
 )
+#: An article of this kind is not the page's; other words in its class say nothing against it.
+_READERS = frozenset("comment comments reply replies respond related recommended sponsored ad advert advertisement promo teaser".split())
+_BESIDE = frozenset("has have with no not without hide hidden".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 
@@ -80,7 +84,9 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
             if tag in ("html", "body"):
                 continue
             words = [w.lower() for w in _WORDS.findall(value)]
-            if any(w in _SAYS for w in words) or "header" in words and not inside or "side" in words and "bar" in words:
+            # "with-sidebar" names what stands beside the sidebar
+            said = {w for k, w in enumerate(words) if not k or words[k - 1] not in _BESIDE}
+            if said & (_READERS if tag in _MAIN else _SAYS) or "header" in said and not inside and tag not in _MAIN or {"side", "bar"} <= said:
                 return True
     return False
 
@@ -93,14 +99,12 @@ def blocks(html: str) -> tuple[list[str], list[bool]]:
     opened: list[tuple[str, bool, bool]] = []  # tag, boilerplate, main
     skipping = inside = 0
     pos, end = 0, len(html)
-    size = 0
+    n_open: Counter[str] = Counter()
 
     def flush(gap: int = 0) -> None:
-        nonlocal size
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             parts.clear()
-            size = 0
             if text:
                 lines.append(text)
                 main.append(inside > 0)
@@ -114,6 +118,7 @@ def blocks(html: str) -> tuple[list[str], list[bool]]:
                 flush(GAP if central else 0)
             skipping -= bad
             inside -= central
+            n_open[tag] -= 1
             if bad and not skipping:
                 flush(GAP)
         del opened[k:]
@@ -138,13 +143,10 @@ def blocks(html: str) -> tuple[list[str], list[bool]]:
             continue
         tag, closing, attributes = name.lower(), (m[1] if m[2] else m[4]) == "/", (m[3] if m[2] else m[6]) or ""
         if closing:
-            if tag == "p" and not any(x[0] == "p" for x in opened):
-                if not skipping:
-                    flush()
-                continue
-            k = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == tag), -1)
-            if k >= 0:
-                close(k)
+            if n_open[tag]:
+                close(next(k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == tag))
+            elif tag == "p" and not skipping:
+                flush()
             continue
         if tag in _RAW:
             stop = re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I).search(html, pos)
@@ -180,6 +182,7 @@ def blocks(html: str) -> tuple[list[str], list[bool]]:
         if bad and not skipping:
             flush(GAP)
         opened.append((tag, bad, central))
+        n_open[tag] += 1
         skipping += bad
         inside += central
     if not skipping:

@@ -21,7 +21,8 @@ def slow_chat(rows):
     by = defaultdict(list)
     for c, turn, role, text in rows:
         by[c].append((turn, role, text))
-    none_first = lambda t: tuple((x is not None, x if x is not None else 0) for x in t)
+    md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    none_first = lambda t: tuple((x is not None, x if x is not None else 0) for x in (t[0], t[1], md5(t[2])))
     conv = {c: tuple((r, t) for _, r, t in sorted(x, key=none_first)) for c, x in by.items()}
     out = Counter()
     for whole in set(conv.values()):
@@ -164,6 +165,14 @@ def test_languages(spark, docs):
     assert {r.doc_id: r.held_out for r in langid.held_out(docs(rows)).collect()} == {i: zlib.crc32(str(i).encode()) % 3 == 1 if i else False for i in (1, None, 2, 3)}
 
 
+def test_long_texts_are_scored_in_parts(spark, docs, monkeypatch):
+    m = model(spark, docs)
+    text = f"{ENGLISH}. {FRENCH} {GREEK}, " * 30
+    whole = langid.label(m, text)
+    monkeypatch.setattr(langid, "CHUNK", 40)
+    assert langid.label(m, text) == whole
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.floats(-20, 20).map(lambda x: round(x, 2)), min_size=3, max_size=3), min_size=1, max_size=7))
 def test_viterbi(rows):
@@ -193,6 +202,7 @@ PAGES = {
     "<header>h</header><div>" + "<p>word word word word word word word word word word word</p>" * 3 + "</div><aside>s</aside>": "\n\n".join(["word word word word word word word word word word word"] * 3),
     "<div>" * 3000 + "deep" + "</div>" * 3000: "deep",
     "<article><p>ends in a tag <b": "ends in a tag",
+    "<div class='page with-sidebar'><article class='post widget'><p>kept</p></article><div class='sidebar'>s</div></div>": "kept",
     "<p title='" + '"' * 3000 + ">": "",
 }
 
