@@ -1,6 +1,7 @@
 """Language ID: script ranges, per-word scores, Viterbi with a switching penalty.
 
-A word is a run of letters.  The script of its first letter, by code-point
+A word is a run of letters (cut after ``CHUNK``, which bounds the memory that a
+text takes).  The script of its first letter, by code-point
 range, leaves only the languages that were seen in that script; each of those
 scores the word by the log-probabilities of its letter trigrams (with word
 ends).  Viterbi over the words, at a penalty for each change of language, labels
@@ -46,8 +47,8 @@ PENALTY = 12.0
 SCRIPT_SHARE = 0.01
 #: Log-odds against a language that is not written in a word's script.
 UNLIKELY = 1e4
-#: Characters that are scored at a time.
-CHUNK = 1 << 20
+#: Characters that are scored at a time, about.
+CHUNK = 1 << 19
 
 #: First code points of ranges, each up to the next; 0 is no script of its own (other letters).
 _RANGES = (
@@ -87,6 +88,18 @@ def _letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return at, bucket, scripts[points[at]], a == 0
 
 
+def pieces(text: str) -> Iterator[tuple[int, str]]:
+    """The text in parts of CHUNK to 2 * CHUNK characters that end between words, each with its place."""
+    start, n = 0, len(text)
+    while n - start > 2 * CHUNK:
+        end = start + CHUNK
+        while end < start + 2 * CHUNK and text[end].isalpha():
+            end += 1
+        yield start, text[start:end]
+        start = end
+    yield start, text[start:]
+
+
 class Model:
     """Languages in code-point order, log-probabilities float32[BUCKETS, languages], and scripts allowed bool[SCRIPTS, languages]."""
 
@@ -102,6 +115,10 @@ class Model:
 
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word: its first position, its letters, and its scores float64[words, languages]."""
+        parts = [self._words(part, start) for start, part in pieces(text)]
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _words(self, text: str, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, bucket, script, begins = _letters(text)
         first = np.flatnonzero(begins)
         if not len(first):
@@ -110,7 +127,7 @@ class Model:
         allowed = self.allowed[script[first]]
         scores -= UNLIKELY * ~allowed
         scores[~allowed.any(axis=1)] = 0
-        return at[first], np.diff(np.append(first, len(at))), scores
+        return at[first] + start, np.diff(np.append(first, len(at))), scores
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The best language of each word."""
@@ -160,8 +177,8 @@ def train(labelled: DataFrame) -> Model:
         for rows in parts:
             for lang, own in rows.groupby("lang")["text"]:
                 sums = np.zeros(BUCKETS + SCRIPTS, dtype=np.int64)
-                for text in own:
-                    _, bucket, script, _ = _letters(text)
+                for part in (part for text in own for _, part in pieces(text)):
+                    _, bucket, script, _ = _letters(part)
                     sums[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                     sums[BUCKETS:] += np.bincount(script, minlength=SCRIPTS)
                 at = np.flatnonzero(sums)
