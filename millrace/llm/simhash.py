@@ -121,7 +121,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     named = best.join(roots, F.col("fp") == F.col("node"), "left").select("best", F.coalesce("root", "fp").alias("root"))
     k1, k2, n = fresh(docs, "mr_c1", "mr_c2", "mr_n")
     kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.c1").alias(k1), F.col("best.c2").alias(k2))
-    found = docs.join(kept, (c1 == F.col(k1)) & (c2 == F.col(k2))).drop("mr_none")
+    found = docs.join(kept, (c1 == F.col(k1)) & (c2 == F.col(k2)))
     # rows equal in every column share their content: one of them stays
     one = found.withColumn(n, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1)))
     return one.where(F.col(n) == 1).drop(k1, k2, n)
