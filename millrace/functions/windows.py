@@ -118,6 +118,33 @@ class Session(Windowing):
         return ds.having(df if ds.window in (None, WINDOW) else df.drop(ds.window), window=WINDOW, windowing=self)
 
 
+@dataclass(frozen=True)
+class Intervals(Windowing):
+    """Merging windows of one's own: each element brings [start, end), and those of a key that overlap become one.
+
+    ``Session(gap)`` is the case of start = time and end = time + gap.  Windows
+    that only touch stay apart.  Bounded data only.
+    """
+
+    start: Expr
+    end: Expr
+    merging = True
+    timed = False
+
+    def assign(self, ds: Dataset, keys: Sequence[str] = ()) -> Dataset:
+        if not ds.bounded:
+            raise ValueError("merging windows of unbounded data: use Session")
+        df = ds.df.withColumns({"__from": column(self.start), "__to": column(self.end)})
+        along = Window.partitionBy(*keys).orderBy("__from", "__to")
+        reached = F.max("__to").over(along.rowsBetween(Window.unboundedPreceding, -1))
+        df = df.withColumn("__begins", F.when(reached.isNull() | (reached <= F.col("__from")), 1).otherwise(0))
+        df = df.withColumn("__island", F.sum("__begins").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        whole = Window.partitionBy(*keys, "__island")
+        span = F.struct(F.min("__from").over(whole).alias("start"), F.max("__to").over(whole).alias("end"))
+        df = df.withColumn(WINDOW, span).drop("__from", "__to", "__begins", "__island")
+        return ds.having(df if ds.window in (None, WINDOW) else df.drop(ds.window), window=WINDOW, windowing=self)
+
+
 @dataclass(frozen=True)
 class Count(Windowing):
     """Every ``size`` elements of a key, in the order of ``by``; what is left at the end is a window too."""

@@ -7,15 +7,18 @@ readers name the package when it is missing.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 from pyspark.sql.types import StructType
 
 from millrace.dataset import Dataset, Expr
 from millrace.operators.elementwise import assign_event_time
+from millrace.sources.shared import shared_folder
 
 
 class ConnectorMissing(RuntimeError):
@@ -45,6 +48,23 @@ def from_rows(spark: SparkSession, rows: Iterable[Any], schema: str | StructType
     return Dataset(spark.createDataFrame(list(rows), schema).repartition(partitions))
 
 
+def list_stream(spark: SparkSession, batches: Sequence[Iterable[Any]], schema: str | StructType, event_time: Expr | None = None, delay: str | None = None) -> Dataset:
+    """Unbounded: the given lists of rows, each a micro-batch of its own, in this order."""
+    folder = shared_folder(spark, "list")
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.parquet(f"{folder}/{k:06d}")
+        time.sleep(0.002)  # files are read in order of their age
+    df = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    return dataset(df, event_time, delay)
+
+
+def custom(spark: SparkSession, source: type[DataSource], stream: bool = False, **options: Any) -> Dataset:
+    """A source of one's own: a Python DataSource with partitions and a reader for each, bounded or streaming."""
+    spark.dataSource.register(source)
+    reader = (spark.readStream if stream else spark.read).format(source.name())
+    return Dataset(reader.options(**options).load())
+
+
 def parquet(spark: SparkSession, path: str, event_time: Expr | None = None) -> Dataset:
     return dataset(spark.read.parquet(path), event_time)
 

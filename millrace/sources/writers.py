@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 from millrace.dataset import Dataset, Expr, column
 
@@ -77,6 +78,16 @@ def hadoop_output(path: str, output_format: str, key_class: str, value_class: st
     return write
 
 
+def custom(sink: type[DataSource], mode: str = "append", **options: Any) -> Sink:
+    """A sink of one's own: a Python DataSource whose writer has write() for each partition, commit() and abort()."""
+
+    def write(ds: Dataset) -> None:
+        ds.df.sparkSession.dataSource.register(sink)
+        ds.df.write.format(sink.name()).mode(mode).options(**options).save()
+
+    return write
+
+
 def nothing() -> Sink:
     """Computes and discards."""
     return lambda ds: ds.df.write.format("noop").mode("overwrite").save() if ds.bounded else ds.df.writeStream.format("noop").start()

@@ -77,8 +77,8 @@ def count_windows(ds: Dataset, key: str, value: str, size: int) -> Dataset:
 class _WindowedState(StatefulProcessor):
     """A user's fold over tumbling windows, with accumulating early panes on an event-time grid."""
 
-    def __init__(self, key: str, time: str, size_ms: int, early_ms: int | None, start: Any, add: Callable, flush: Callable):
-        self.key, self.time, self.size, self.early = key, time, size_ms, early_ms
+    def __init__(self, key: str, time: str, size_ms: int, early_ms: int | None, start: Any, add: Callable, flush: Callable, strict: bool):
+        self.key, self.time, self.size, self.early, self.strict = key, time, size_ms, early_ms, strict
         self.start, self.add, self.flush = start, add, flush
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -91,8 +91,8 @@ class _WindowedState(StatefulProcessor):
             for row in part.sort_values(self.time, kind="stable").to_dict("records"):
                 ms = int(pd.Timestamp(row[self.time]).value // 1_000_000)
                 start = ms // self.size * self.size
-                if start + self.size <= mark:
-                    continue  # the window was closed: late
+                if start + self.size <= mark or self.strict and ms < mark:
+                    continue  # late
                 if self.windows.containsKey((start,)):
                     state = json.loads(self.windows.getValue((start,))[0])
                 else:
@@ -124,13 +124,15 @@ class _WindowedState(StatefulProcessor):
 
 
 def reduce_state_stream(
-    ds: Dataset, key: str, size: timedelta, start: Any, add: Callable[[Any, dict], Any], flush: Callable[[Any], list[tuple]], schema: str, early: timedelta | None = None
+    ds: Dataset, key: str, size: timedelta, start: Any, add: Callable[[Any, dict], Any], flush: Callable[[Any], list[tuple]], schema: str, early: timedelta | None = None, strict: bool = False
 ) -> Dataset:
     """(key, start_ms, end_ms, final, columns of ``schema``) over tumbling windows of a stream.
 
     ``add(state, row)`` gives the new state, a JSON value; ``flush(state)`` gives
     tuples.  With ``early`` a window also emits its state so far, final = false,
-    whenever the watermark passes a multiple of that duration inside it.
+    whenever the watermark passes a multiple of that duration inside it.  An
+    element is late once its window has closed; if ``strict``, as soon as its own
+    time is behind the watermark.
     """
     use_rocksdb(ds.df.sparkSession)
     ms = timedelta(milliseconds=1)
@@ -144,5 +146,5 @@ def reduce_state_stream(
                 part.columns = names
                 yield part
 
-    processor = Named(key, ds.time, size // ms, early // ms if early else None, start, add, flush)
+    processor = Named(key, ds.time, size // ms, early // ms if early else None, start, add, flush, strict)
     return Dataset(ds.df.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime"))

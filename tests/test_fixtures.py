@@ -10,7 +10,7 @@ from millrace.dataset import Dataset
 from millrace.functions import reducers as R
 from millrace.functions.accumulators import Counter as Count_
 from millrace.functions.accumulators import Histogram, observed
-from millrace.functions.windows import Count, Custom, Global, Session, Sliding, Tumbling
+from millrace.functions.windows import Count, Custom, Global, Intervals, Session, Sliding, Tumbling
 from millrace.operators.elementwise import assign_event_time, filter_by, flat_map, map_elements, map_partitions, split
 from millrace.operators.joins import WindowingRequired, full_join, join, left_join, right_join, validate
 from millrace.operators.keyed import count_by_key, reduce_by_key, reduce_to_many, reduce_window, running, sum_by_key, top_per_key
@@ -315,6 +315,15 @@ def test_session_gap_is_strict(spark):
     assert start_end(count_by_key(Session(5 * MS).assign(ds, ["k"]), "k"), "key", "value") == want
 
 
+def test_merging_intervals(spark):
+    ds = timed(spark, F2[:9], "s string, t int")
+    w = Intervals("ts", F.expr("ts + INTERVAL '0.005' SECOND"))
+    assert listed(reduce_state_by_key(ds, key(), Names, "v string", w)) == F5
+    rows = [("a", 0, 9), ("a", 2, 4), ("a", 5, 12), ("a", 12, 13), ("b", 1, 2)]
+    out = reduce_by_key(of(spark, rows, "k string, f int, g int"), "k", {"n": R.count()}, Intervals("f", "g"))
+    assert Counter(tuple(r) for r in out.df.select("key", "n", "window.start", "window.end").collect()) == Counter([("a", 3, 0, 12), ("a", 1, 12, 13), ("b", 1, 1, 2)])
+
+
 def test_f7_hours(spark):
     ds = timed(spark, [(s * 1000,) for s in (0, 1, 3599, 3599, 3600, 3600, 7199)], "t long")
     assert start_end(reduce_window(ds, {"n": R.count()}, Tumbling(H)), "n") == Counter([(4, 0, 3_600_000), (3, 3_600_000, 7_200_000)])

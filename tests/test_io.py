@@ -2,9 +2,11 @@
 
 from collections import Counter
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from millrace.functions import reducers as R
 from millrace.functions.windows import Tumbling
@@ -112,6 +114,75 @@ def test_h4_early_panes(spark, tmp_path):
     assert any(not x[1] for x in got)
 
 
+COUNT = dict(start=0, add=lambda n, row: n + 1, flush=lambda n: [(n,)], schema="n long")
+
+
+def listed(spark, rows, schema, delay):
+    batches = [[r] for r in rows] + [[(rows[0][0], 10**12)]]
+    ds = readers.list_stream(spark, batches, schema)
+    df = ds.df.withColumn("ts", F.timestamp_millis("t")).withWatermark("ts", delay)
+    return ds.having(df, time="ts")
+
+
+def test_h5_lateness_of_rows(spark):
+    rows = [("one", 1), ("one", 2), ("two", 7), ("two", 3), ("two", 1), ("two", 8), ("three", 8)]
+    out = run_to_end(reduce_state_stream(listed(spark, rows, "w string, t long", "4 milliseconds"), "w", timedelta(milliseconds=5), strict=True, **COUNT))
+    assert Counter((r.w, r.start_ms, r.n) for r in out.collect()) == Counter([("one", 0, 2), ("two", 0, 1), ("two", 5, 2), ("three", 5, 1)])
+
+
+def test_h3_lateness_of_windows(spark):
+    rows = [(e, 1000 * e) for e in range(1999, 1987, -1)]
+    ds = listed(spark, rows, "e int, t long", "4 seconds")
+    out = reduce_window(ds, {"v": F.sum("e")}, Tumbling(S))
+    assert Counter(r.v for r in run_to_end(out).collect() if r.v > 0 and r.window.start.year < 2000) == Counter([1999, 1998, 1997, 1996, 1995])
+
+
+class Numbers(DataSource):
+    @classmethod
+    def name(cls):
+        return "numbers"
+
+    def schema(self):
+        return "n int"
+
+    def reader(self, schema):
+        return NumbersReader(int(self.options["upto"]))
+
+    def writer(self, schema, overwrite):
+        return NumbersWriter(self.options["path"])
+
+
+class NumbersReader(DataSourceReader):
+    def __init__(self, upto):
+        self.upto = upto
+
+    def partitions(self):
+        return [InputPartition(k) for k in range(2)]
+
+    def read(self, partition):
+        yield from ((i,) for i in range(partition.value, self.upto, 2))
+
+
+class NumbersWriter(DataSourceWriter):
+    def __init__(self, path):
+        self.path = path
+
+    def write(self, rows):
+        n = WriterCommitMessage()
+        n.total = sum(r.n for r in rows)
+        return n
+
+    def commit(self, messages):
+        Path(self.path).write_text(str(sum(m.total for m in messages if m)))
+
+
+def test_sources_and_sinks_of_ones_own(spark, tmp_path):
+    ds = readers.custom(spark, Numbers, upto="10")
+    assert sorted(r.n for r in ds.df.collect()) == list(range(10))
+    writers.custom(Numbers, path=str(tmp_path / "sum"))(ds)
+    assert (tmp_path / "sum").read_text() == "45"
+
+
 def test_unbounded_joins_need_windows(spark, tmp_path):
     from millrace.operators.joins import WindowingRequired, join
 
