@@ -9,8 +9,9 @@ sampling: a document with the uniform number U has the rank
 
     Q = (U / (1 - U)) / (f / (1 - f)),
 
-and documents are taken in order of Q until their words come nearest to what
-the certain copies left open.  U comes from an MD5 of seed, doc_id and text, so
+and documents are taken in order of Q while their words fit what the certain
+copies left open; of those after them, the one whose size comes nearest to what
+is still missing is taken too, if it brings the sum nearer.  U comes from an MD5 of seed, doc_id and text, so
 reruns agree.
 
 No source is ever sorted as a whole.  Ranks fall into 4096 bins, words are
@@ -75,7 +76,7 @@ def _rank(f: Column, u: Column) -> Column:
 
 
 def plan_sources(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Per source: source_size, target, n_whole certain copies, fraction and cutoff, the greatest rank taken (null: none)."""
+    """Per source: source_size, target, n_whole certain copies, fraction, cutoff (the greatest rank taken in order) and extra (the rank taken besides); null: none."""
     light = cut(_measured(docs.select("source", "doc_id", "text"), seed))
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sizes)
@@ -94,36 +95,42 @@ def plan_sources(docs: DataFrame, seed: str = SEED) -> DataFrame:
     crossing = lookup(crossing.select(F.col("source").alias("s"), F.col("bin").alias("b"), "before"))
     within = ranked.join(crossing, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     order = Window.partitionBy("source").orderBy("q").rangeBetween(Window.unboundedPreceding, 0)
-    tied = Window.partitionBy("source", "q")
-    near = within.withColumn("upto", F.col("before") + F.sum("size").over(order)).withColumn("tied", F.sum("size").over(tied))
-    inside = near.where(F.col("upto") - F.col("tied") / 2 <= F.col("open")).groupBy("source").agg(F.max("q").alias("q"))
-    whole = by_bin.where(F.col("before") + F.col("n") < F.col("open")).groupBy("source").agg(F.max("top").alias("q"))
-    cutoff = inside.unionByName(whole).groupBy(F.col("source").alias("s")).agg(F.max("q").alias("cutoff"))
-    return goals.join(cutoff, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "n_whole", "fraction", "cutoff")
+    near = within.withColumn("upto", F.col("before") + F.sum("size").over(order))
+    inside = near.where("upto <= open").groupBy("source").agg(F.max("q").alias("q"), F.max("upto").alias("n"))
+    whole = by_bin.where(F.col("before") + F.col("n") < F.col("open")).groupBy("source").agg(F.max("top").alias("q"), F.max(F.col("before") + F.col("n")).alias("n"))
+    cutoff = inside.unionByName(whole).groupBy(F.col("source").alias("s")).agg(F.max("q").alias("cutoff"), F.max("n").alias("n"))
+    known = cut(goals.join(cutoff, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("missing", F.col("open") - F.coalesce("n", F.lit(0))).drop("s", "n"))
+    side = lookup(known.select(F.col("source").alias("s"), "cutoff", "missing"))
+    after = ranked.join(side, F.col("source").eqNullSafe(F.col("s"))).where(F.col("q") > F.coalesce("cutoff", F.lit(-1.0)))
+    off = F.abs(F.col("size") - F.col("missing"))
+    best = after.where(off < F.col("missing")).groupBy(F.col("source").alias("s")).agg(F.min(F.struct(off.alias("off"), F.col("q"))).alias("best"))
+    found = known.join(best.select("s", F.col("best.q").alias("extra")), F.col("source").eqNullSafe(F.col("s")), "left")
+    return found.select("source", "source_size", "target", "n_whole", "fraction", "cutoff", "extra")
 
 
 def _chosen(docs: DataFrame, seed: str, size: str, n: str, plan: tuple[str, ...]) -> DataFrame:
-    s, total, target, whole, fraction, cutoff, u = plan
-    sources = lookup(plan_sources(docs, seed).toDF(s, total, target, whole, fraction, cutoff))
+    s, total, target, whole, fraction, cutoff, extra, u = plan
+    sources = lookup(plan_sources(docs, seed).toDF(s, total, target, whole, fraction, cutoff, extra))
     known = docs.withColumns({size: F.size(words_of(text_of())).cast("long"), u: uniform(seed, F.col("doc_id"), text_of())})
     known = known.join(sources, F.col("source").eqNullSafe(F.col(s)))
-    drawn = F.coalesce((_rank(F.col(fraction), F.col(u)) <= F.col(cutoff)).cast("long"), F.lit(0))
+    rank = _rank(F.col(fraction), F.col(u))
+    drawn = F.when((rank <= F.col(cutoff)) | (rank == F.col(extra)), F.lit(1)).otherwise(F.lit(0)).cast("long")
     return known.withColumn(n, F.when(F.col(size) > 0, F.col(whole) + drawn).otherwise(F.lit(0).cast("long")))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, n_copies."""
     docs = docs.select("doc_id", "source", "text")
-    out = _chosen(docs, seed, "size", "n_copies", ("s", "source_size", "target", "n_whole", "fraction", "cutoff", "u"))
+    out = _chosen(docs, seed, "size", "n_copies", ("s", "source_size", "target", "n_whole", "fraction", "cutoff", "extra", "u"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies")
 
 
 def sample(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with all its columns."""
-    names = fresh(docs, "mr_size", "mr_n", "mr_s", "mr_total", "mr_target", "mr_whole", "mr_fraction", "mr_cutoff", "mr_u", "mr_copy")
-    out = _chosen(docs, seed, names[0], names[1], tuple(names[2:9]))
+    names = fresh(docs, "mr_size", "mr_n", "mr_s", "mr_total", "mr_target", "mr_whole", "mr_fraction", "mr_cutoff", "mr_extra", "mr_u", "mr_copy")
+    out = _chosen(docs, seed, names[0], names[1], tuple(names[2:10]))
     copies = F.when(F.col(names[1]) > 0, F.sequence(F.lit(1).cast("long"), F.col(names[1])))
-    return out.withColumn(names[9], F.explode(copies)).drop(*names)
+    return out.withColumn(names[10], F.explode(copies)).drop(*names)
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +149,10 @@ t AS (SELECT source, source_size, CASE WHEN first IS NULL OR rank < first THEN m
 c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS n_whole, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies FROM t),
 q AS (SELECT d.*, source_size, target, n_whole, target - n_whole * source_size AS open, CASE WHEN copies - n_whole > 0 THEN (u / (1 - u)) / ((copies - n_whole) / (1 - (copies - n_whole))) END AS q
   FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
-a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY source, q) AS tied FROM q)
+a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q),
+i AS (SELECT *, coalesce(q IS NOT NULL AND upto <= open, false) AS inside FROM a),
+g AS (SELECT *, open - coalesce(max(CASE WHEN inside THEN upto END) OVER (PARTITION BY source), 0) AS missing FROM i),
+e AS (SELECT *, min(CASE WHEN q IS NOT NULL AND NOT inside AND abs(size - missing) < missing THEN {'o': abs(size - missing), 'q': q} END) OVER (PARTITION BY source) AS best FROM g)
 SELECT doc_id, size, source_size, target, size * n_copies AS taken, n_copies FROM (
-  SELECT *, CASE WHEN size > 0 THEN n_whole + CASE WHEN q IS NOT NULL AND upto - tied / 2 <= open THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS n_copies FROM a)
+  SELECT *, CASE WHEN size > 0 THEN n_whole + CASE WHEN inside OR coalesce(q = best.q, false) THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS n_copies FROM e)
 """
