@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.dataset import Dataset, Expr, column
@@ -18,6 +18,12 @@ from millrace.functions.windows import Count, Custom, Global, Session, Windowing
 from millrace.operators.sets import union
 
 
+#: What a side hinted fits_in_memory may have at most; the rows count where Spark has no estimate.
+BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 100_000
+UNKNOWN = 1 << 60
+
+
 class WindowingRequired(ValueError):
     """A join of windowed inputs has to say how it is windowed itself."""
 
@@ -28,6 +34,16 @@ def validate(left: Windowing | None, right: Windowing | None, own: Windowing | N
         raise WindowingRequired("one of the join's inputs is windowed: give the join a windowing")
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether a side is small enough to broadcast: by Spark's estimate, an upper bound for files, or else by counting rows up to the limit."""
+    if df.isStreaming:
+        return False
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < UNKNOWN:
+        return size <= BROADCAST_BYTES
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def join(
     left: Dataset,
     right: Dataset,
@@ -45,7 +61,8 @@ def join(
     ``out`` and ``condition`` name the sides' columns as ``l.x`` and ``r.x``; the
     columns of a side that is missing are null.  Null keys never match unless
     ``null_safe``.  ``attached`` joins on the windows that both inputs already
-    have.  A side hinted fits_in_memory is broadcast where the join allows it.
+    have.  A side hinted fits_in_memory is broadcast where the join allows it and
+    its size, which is checked, does; else Spark picks the strategy.
     """
     if how not in ("inner", "left", "right", "full"):
         raise ValueError(f"no such join: {how}")
@@ -61,9 +78,9 @@ def join(
     elif windowing is not None:
         a, b = windowing.assign(a, ["__key"]), windowing.assign(b, ["__key"])
     l, r = a.df.alias("l"), b.df.alias("r")
-    if hints[1] and how in ("inner", "left"):
+    if hints[1] and how in ("inner", "left") and fits(b.df):
         r = F.broadcast(r)
-    elif hints[0] and how in ("inner", "right"):
+    elif hints[0] and how in ("inner", "right") and fits(a.df):
         l = F.broadcast(l)
     same = F.col("l.__key").eqNullSafe(F.col("r.__key")) if null_safe else F.col("l.__key") == F.col("r.__key")
     windowed = a.window is not None and b.window is not None

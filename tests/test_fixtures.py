@@ -375,6 +375,9 @@ def test_g5_g7_broadcast(spark):
     out = left_join(a, b.hinted("fits_in_memory"), on, both_sides())
     assert "BroadcastHashJoin" in plan(out)
     assert outs(out) == Counter(["0+null", "2+12", "2+12", "4+14", "3+13", "3+13"] + ["1+11"] * 4)
+    big = of(spark, [(i, i) for i in range(20)], "e long, x int")
+    big = big.having(big.df.crossJoin(spark.range(10_000))).hinted("fits_in_memory")
+    assert "BroadcastHashJoin" not in plan(left_join(a, big, ("e", "e"), {"x": F.col("r.x")}))
     a, b, on = sides(spark)
     out = right_join(a.hinted("fits_in_memory"), b, on, both_sides())
     assert "BroadcastHashJoin" in plan(out) and outs(out) == Counter([*INNER, "null+15"])
