@@ -13,10 +13,11 @@ labelled rows: with n rows of a language, those whose hash is 0 modulo
 ceil(n / ``SAMPLE_DOCS``), and the ``MAX_LANGS`` most frequent languages.  The
 model is a table of ``BUCKETS`` hashed trigrams by language, and is broadcast.
 
-Most documents are of one language, and for those Viterbi is not run: if no
-stretch of words favours another language by more than the penalty, no path
-with a change can win (an excursion through k other languages gains k penalties
-at most and pays k, or k + 1, of them), and the constant path is the answer.
+Most documents are of one language, and for those Viterbi is not run: the
+constant path is the answer if no stretch of words favours another language by
+the penalty, nor do the best beginning and the best end together.  An excursion
+through k other languages then gains less than k penalties and pays k at least;
+a path that never comes to the language gains less than k - 1 and pays k - 1.
 
 Defined results: ``und`` with score 0 if a text is null or has no letter, or if
 nothing could be learned; a word in a script that no language was seen in counts
@@ -137,7 +138,7 @@ class Model:
             return np.zeros(n, dtype=np.int64)
         gain = np.zeros((n + 1, k))
         np.cumsum(scores - scores[:, best : best + 1], axis=0, out=gain[1:])
-        if (gain - np.minimum.accumulate(gain, axis=0)).max() < PENALTY:
+        if (gain - np.minimum.accumulate(gain, axis=0)).max() < PENALTY and gain.max() + (gain[-1] - gain).max() < PENALTY:
             return np.full(n, best)
         return viterbi(scores)
 
