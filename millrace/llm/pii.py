@@ -155,10 +155,10 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
     base = docs.select(text_of().alias("t")).select(kin(words_of(F.col("t"))).alias("kin"), words_of(F.translate("t", _UPPER, _LOWER)).alias("w"))
     held = base.select("kin", F.explode(F.array_distinct(F.transform("w", lambda x: F.xxhash64(F.btrim(x, F.lit(_PUNCTUATION)))))).alias("term"))
     n_t = held.join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    known = pairs.join(n_e, "ent").join(n_t, "term").crossJoin(F.broadcast(total))  # one row
-    content = F.log2(F.col("n") / F.col("n_e"))
-    value = F.when(content > 0, F.log2(F.col("n") * F.col("n_te") / F.col("n_t") / F.col("n_e")) / content)
+    known = pairs.join(n_e, "ent").join(n_t, "term")
+    n = F.lit(float(docs.count()))
+    content = F.log2(n / F.col("n_e"))
+    value = F.when(content > 0, F.log2(n * F.col("n_te") / F.col("n_t") / F.col("n_e")) / content)
     return known.select("ent", "term", value.alias("disclosure")).where(F.col("disclosure") >= THRESHOLD)
 
 
