@@ -1,14 +1,14 @@
 """reduce_state_by_key: a user's own state for each key and window.
 
 The user gives a ``State``: ``add`` takes an element, ``flush`` gives the results,
-``merge`` takes in another state.  Bounded data go group by group through Arrow,
-in order of time; only one group's rows are held at a time.  Streams: see
-``millrace.streaming.processors``.
+``merge`` takes in another state.  Bounded data are dealt by key and window, sorted
+by them and by time, and stream through Arrow; a group is never held, only its
+state.  Streams: see ``millrace.streaming.processors``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -58,18 +58,29 @@ def reduce_state_by_key(
     out = StructType(df.select(*by).schema.fields + StructType.fromDDL(schema).fields)
     names = out.fieldNames()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if sort:
-            rows = rows.sort_values(sort, kind="stable")
-        one = state()
-        for element in rows.to_dict("records"):
-            one.add(element)
-        group = tuple(rows[c].iloc[0] for c in by)
-        found = [group + tuple(x) for x in one.flush()]
-        one.close()
-        return pd.DataFrame(found, columns=names)
-
-    got = df.groupBy(*by).applyInPandas(run, out)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, one, found = None, None, []
+
+        def flush() -> None:
+            found.extend(now + tuple(x) for x in one.flush())
+            one.close()
+
+        for rows in parts:
+            for element in rows.to_dict("records"):
+                group = tuple(None if pd.isna(element[c]) else element[c] for c in by)
+                if one is None or group != now:
+                    if one is not None:
+                        flush()
+                    now, one = group, state()
+                one.add(element)
+            if found:
+                yield pd.DataFrame(found, columns=names)
+                found = []
+        if one is not None:
+            flush()
+            yield pd.DataFrame(found, columns=names)
+
+    got = df.repartition(*by).sortWithinPartitions(*by, *sort).mapInPandas(run, out)
     if interval:
         got = got.withColumn(ds.window, F.struct(F.col("__start").alias("start"), F.col("__end").alias("end"))).drop("__start", "__end")
     return _emitted(ds.having(got))

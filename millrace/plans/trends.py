@@ -16,9 +16,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.dataset import Dataset, Expr, column
+from millrace.functions.scalars import trend_rank
 from millrace.functions.windows import Tumbling
 from millrace.operators.keyed import count_by_key
 
@@ -41,11 +43,9 @@ class Trends:
         end = F.unix_micros(F.col("window.end").cast("timestamp"))
         hourly = hourly.select("query", end.alias("end"), "n")
         step = self.short // timedelta(microseconds=1)
-        from pyspark.sql import Window
-
         last = Window.partitionBy("query").orderBy("end").rangeBetween(-(steps - 1) * step, 0)
         both = hourly.select("query", "end", F.col("n").alias("short_count"), F.sum("n").over(last).alias("long_count"))
-        rank = F.col("short_count") / (F.col("long_count") + self.smoothness) * steps
+        rank = trend_rank("short_count", "long_count", self.short, self.long, self.smoothness)
         return Dataset(both.withColumn("rank", rank).where(F.col("rank") > self.threshold))
 
     def top(self, ds: Dataset, query: Expr) -> Dataset:
