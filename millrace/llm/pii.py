@@ -47,7 +47,6 @@ _PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 
@@ -114,7 +113,7 @@ def _masked(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _term(word: Column) -> Column:
-    return F.btrim(F.translate(word, _UPPER, _LOWER), F.lit(_PUNCTUATION))
+    return F.btrim(F.lower(word), F.lit(_PUNCTUATION))
 
 
 def near_terms(docs: DataFrame) -> DataFrame:
@@ -152,7 +151,7 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
     pairs = cut(pairs.where(F.col("n_te") >= MIN_SUPPORT))
     n_e = near.select("ent", "kin").distinct().groupBy("ent").agg(F.count(F.lit(1)).alias("n_e"))
     terms = lookup(pairs.select("term").distinct())
-    base = docs.select(text_of().alias("t")).select(kin(words_of(F.col("t"))).alias("kin"), words_of(F.translate("t", _UPPER, _LOWER)).alias("w"))
+    base = docs.select(text_of().alias("t")).select(kin(words_of(F.col("t"))).alias("kin"), words_of(F.lower("t")).alias("w"))
     held = base.select("kin", F.explode(F.array_distinct(F.transform("w", lambda x: F.xxhash64(F.btrim(x, F.lit(_PUNCTUATION)))))).alias("term"))
     n_t = held.join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     known = pairs.join(n_e, "ent").join(n_t, "term")
