@@ -67,22 +67,30 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def canonical(url: Column) -> Column:
-    """host + path, without port, a leading ``www.``, and slashes at the end; a site is ``host/``."""
-    host = F.regexp_replace(F.regexp_replace(host_of(url), r":[0-9]*$", ""), r"^www\.", "")
-    path = F.regexp_replace(path_of(url), r"/+$", "")
-    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path)))
-
-
-def lookup_keys(url: Column) -> list[Column]:
-    """The page key, then the site keys from the host upwards; null where there is none."""
-    host = F.regexp_replace(F.regexp_replace(host_of(url), r":[0-9]*$", ""), r"^www\.", "")
-    labels = F.split(host, r"\.")
-    sites = [F.concat(host, F.lit("/"))]
+def site_of(host: Column) -> Column:
+    """The host without port and a leading ``www.``."""
+    return F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"^www\.", "")
+
+
+def canonical(site: Column, path: Column) -> Column:
+    """The key of a page: site + path, without slashes at the end; a site's own page is ``site/``."""
+    bare = F.regexp_replace(path, r"/+$", "")
+    return F.when(site != "", F.concat(site, F.when(bare == "", F.lit("/")).otherwise(bare)))
+
+
+def with_keys(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` (host, path) with the page key, then the site keys from the host upwards; null where there is none.
+
+    Site and labels are columns before they are used, so that they are taken once.
+    """
+    rows = rows.withColumn("site", site_of(F.col("host"))).withColumn("labels", F.split("site", r"\."))
+    whole = F.concat("site", F.lit("/"))
+    page = canonical(F.col("site"), F.col("path"))
+    keys = [F.when(~page.eqNullSafe(whole), page), F.when(F.col("site") != "", whole)]
     for k in range(1, SITE_LABELS + 1):
-        sites.append(F.when(F.size(labels) > k + 1, F.concat(F.array_join(F.slice(labels, k + 1, F.greatest(F.size(labels) - k, F.lit(1))), "."), F.lit("/"))))
-    page = canonical(url)
-    return [F.when(~page.eqNullSafe(sites[0]), page), *(F.when(host != "", s) for s in sites)]
+        parent = F.array_join(F.slice("labels", k + 1, F.greatest(F.size("labels") - k, F.lit(1))), ".")
+        keys.append(F.when((F.col("site") != "") & (F.size("labels") > k + 1), F.concat(parent, F.lit("/"))))
+    return rows.withColumns(dict(zip(names, keys, strict=True))).drop("site", "labels")
 
 
 def _probe(key: Column, blocks: int) -> tuple[Column, list[Column]]:
@@ -140,17 +148,20 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str]
         fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit("." + host))) & F.startswith(F.col("path"), F.lit(path))
         rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, kind).otherwise(verdict)
     rows = rows.withColumns({"rule": rule, "by_rule": verdict})
-    keys = cut(listed.select(canonical(F.col("url").cast("string")).alias("key")).where("key IS NOT NULL").distinct())
+    url = listed.select(F.col("url").cast("string").alias("url"))
+    url = url.select(site_of(host_of(F.col("url"))).alias("site"), path_of(F.col("url")).alias("path"))
+    keys = cut(url.select(canonical(F.col("site"), F.col("path")).alias("key")).where("key IS NOT NULL").distinct())
     filled = bloom_filter(keys, keys.count())
-    wanted = lookup_keys(F.col("url"))
-    open_ = F.col("rule").isNull()
-    rows = rows.withColumn("hits", _passing(spark, filled, [F.when(open_, k) for k in wanted]))
+    wanted = [f"key{k}" for k in range(SITE_LABELS + 2)]
+    rows = with_keys(rows, wanted)
+    rows = rows.withColumn("hits", _passing(spark, filled, [F.when(F.col("rule").isNull(), F.col(k)) for k in wanted]))
     hit = rows.where("hits <> 0")
-    passed = F.array_compact(F.array(*(F.when(F.col("hits").bitwiseAND(F.lit(1 << k)) != 0, key) for k, key in enumerate(wanted))))
+    passed = F.array_compact(F.array(*(F.when(F.col("hits").bitwiseAND(F.lit(1 << k)) != 0, F.col(key)) for k, key in enumerate(wanted))))
     asked = hit.select("url", F.explode(passed).alias("key")).distinct()
     found = asked.join(keys.hint("shuffle_hash"), "key").groupBy(F.col("url").alias("u")).agg(F.max_by("key", F.struct(F.length("key"), "key")).alias("listed"))
-    judged = hit.join(found, F.col("url") == F.col("u"), "left").drop("u")
-    out = judged.unionByName(rows.where("hits = 0").withColumn("listed", F.lit(None).cast("string")))
+    rest = ("page_id", "url", "host", "path", "rule", "by_rule")
+    judged = hit.select(*rest).join(found, F.col("url") == F.col("u"), "left").drop("u")
+    out = judged.unionByName(rows.where("hits = 0").select(*rest).withColumn("listed", F.lit(None).cast("string")))
     by_list = F.when(F.col("listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_list).alias("verdict"), "listed")
 
