@@ -5,6 +5,8 @@ user's label) that later groupings use as a further key.  Session windows are
 half-open: two elements exactly ``gap`` apart are two sessions, where Spark's
 ``session_window`` merges them; so its gap is shortened by the clock's
 resolution, one microsecond, and the end is moved back by as much.
+
+Early results exist on streams only: ``millrace.streaming.processors``.
 """
 
 from __future__ import annotations
@@ -60,7 +62,6 @@ class Global(Windowing):
 @dataclass(frozen=True)
 class Tumbling(Windowing):
     size: timedelta
-    early: timedelta | None = None
 
     def __post_init__(self) -> None:
         if self.size <= timedelta(0):
@@ -88,7 +89,6 @@ class Sliding(Windowing):
 @dataclass(frozen=True)
 class Session(Windowing):
     gap: timedelta
-    early: timedelta | None = None
     merging = True
 
     def __post_init__(self) -> None:
