@@ -13,7 +13,8 @@ The rolling hash is a running window aggregate, which spills; it is computed
 once, and names and prefixes are both read from it.  Prefixes are deduplicated
 by partial aggregation before they are shuffled, so a first turn shared by very
 many conversations costs one row a task.  Only the turns of the conversations
-that stay are shuffled with their text.
+that stay are shuffled with their text.  A conversation is rendered into one
+row, so it has to fit one.
 
 Defined results: turns are ordered by turn, role and MD5 of the text, nulls
 first; repeated rows are repeated turns; a null role is rendered as ``unknown``

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a lookup side may be broadcast; each caller's row is under 200 bytes.
-BROADCAST_ROWS = 50_000
+#: Bytes up to which a lookup side may be broadcast, counted as below.
+BROADCAST_BYTES = 8 << 20
+ROW_BYTES = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +65,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` materialised; with the broadcast hint if it was counted to hold at most ``rows`` rows."""
+def lookup(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (numbers and strings) materialised; with the broadcast hint if it was measured to have at most ``most`` bytes."""
     kept = cut(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    strings = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in kept.dtypes if kind == "string"]
+    size = sum(strings, F.lit(ROW_BYTES + 8 * len(kept.columns)).cast("long"))
+    total = kept.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(kept) if total <= most else kept
 
 
 def where_after(df: DataFrame, condition: Column) -> DataFrame:
