@@ -11,6 +11,10 @@ numbers are taken for a line: the documents that hold it, and the distinct
 A line is above the limit if it has over ``max_kins`` kins and these are at
 least half of its documents.
 
+That is the rule of ``OP5_SQL``, and ``line_frequency`` keeps to it.  It never
+cuts a line that holds its documents' longest word, nor one whose documents
+have many copies, so ``clean`` counts distinct documents (``boilerplate``).
+
 Defined results: a null text is the empty text (0 words, fails the base
 rules); a null source is a host of its own; equal rows get equal verdicts and
 do not influence each other's counts of removed words; an empty table gives an
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import content_id, cut, fresh, kin, table, text_of, where_after, words_of
+from millrace.llm.common import content_id, cut, fresh, kin, lookup, table, text_of, where_after, words_of
 
 MAX_KINS = 20
 MIN_WORDS = 10
@@ -102,13 +106,41 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.col("source").isNull(), F.col("source"), line)
 
 
-def removed_lines(docs: DataFrame, max_kins: int = MAX_KINS) -> DataFrame:
-    """(c1, c2, at, n_removed): for each content with lines above the limit their indexes and words."""
+def boilerplate(docs: DataFrame, max_docs: int = MAX_KINS) -> DataFrame:
+    """``key`` of each (host, normalised line) in over ``max_docs`` distinct documents.
+
+    Lines in over ``max_docs`` contents are shared.  A content with most of its
+    words in other lines is a document of its own.  The rest, near copies and
+    documents of little but boilerplate, are told apart by their longest word
+    outside the line in question.
+    """
+    c1, c2 = content_id(F.col("source"), F.col("text"))
+    base = docs.select("source", text_of().alias("t"), c1.alias("c1"), c2.alias("c2"))
+    keys = base.select("source", "c1", "c2", _normal_lines("t").alias("lines")).select("c1", "c2", F.array_distinct(F.transform("lines", _key)).alias("keys"))
+    held = cut(keys.select("c1", "c2", F.explode("keys").alias("key")).distinct())
+    shared = lookup(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("key"))
+    by_doc = held.join(shared, "key").groupBy("c1", "c2").agg(F.collect_list("key").alias("shared"))
+    split = F.transform(_lines(F.col("t")), lambda x: F.struct(_key(_normal(x)).alias("key"), words_of(x).alias("w")))
+    longest = lambda w: F.array_max(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))
+    lines = base.select("c1", "c2", F.transform(split, lambda x: F.struct(longest(x["w"]).alias("top"), x["key"].alias("key"), F.size(x["w"]).alias("n"))).alias("lines"))
+    found = lines.select("c1", "c2", F.filter("lines", lambda x: x["n"] > 0).alias("lines")).join(by_doc, ["c1", "c2"])
+    words = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["n"])
+    found = found.withColumn("own", words(F.filter("lines", lambda x: ~F.array_contains("shared", x["key"]))) * 2 > words(F.col("lines")))
+    found = found.withColumn("first", F.array_max("lines"))
+    found = found.withColumn("other", F.array_max(F.filter("lines", lambda x: x["key"] != F.col("first.key"))))
+    found = found.select("c1", "c2", "own", "first", "other", F.explode("shared").alias("key"))
+    kins = F.xxhash64(F.when(F.col("key") == F.col("first.key"), F.col("other.top.w")).otherwise(F.col("first.top.w")))
+    found = found.select("key", "own", *(F.when(F.col("own"), F.col(c)).otherwise(kin_).alias(c) for c, kin_ in (("c1", kins), ("c2", F.lit(0).cast("long")))))
+    return found.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
+
+
+def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(c1, c2, at, n_removed): for each content with lines of ``frequent`` their indexes and words."""
     c1, c2 = content_id(F.col("source"), F.col("text"))
     lines = docs.select("source", c1.alias("c1"), c2.alias("c2"), F.posexplode(_lines(text_of())).alias("at", "line"))
     lines = lines.withColumn("norm", _normal(F.col("line"))).where(F.col("norm") != "")
     lines = lines.select("c1", "c2", "at", _key(F.col("norm")).alias("key"), F.size(words_of(F.col("norm"))).alias("n"))
-    hit = lines.join(frequent_lines(docs, max_kins).select("key"), "key")
+    hit = lines.join(frequent.select("key"), "key")
     once = hit.groupBy("c1", "c2", "at").agg(F.max("n").alias("n"))  # rows of equal content give the same lines
     return once.groupBy("c1", "c2").agg(F.collect_list("at").alias("at"), F.sum("n").alias("n_removed"))
 
@@ -123,7 +155,7 @@ def line_frequency(docs: DataFrame, max_kins: int = MAX_KINS) -> DataFrame:
     c1, c2 = content_id(F.col("source"), F.col("text"))
     docs = docs.select("doc_id", "source", "text")
     measured = base_metrics(docs.withColumns({"c1": c1, "c2": c2}), text_of()).drop("text", "source")
-    found = measured.join(removed_lines(docs, max_kins).drop("at"), ["c1", "c2"], "left")
+    found = measured.join(removed_lines(docs, frequent_lines(docs, max_kins)).drop("at"), ["c1", "c2"], "left")
     return found.select(
         "doc_id",
         "n_words",
@@ -137,12 +169,13 @@ def line_frequency(docs: DataFrame, max_kins: int = MAX_KINS) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, max_kins: int = MAX_KINS) -> DataFrame:
-    """The kept documents, all their columns, lines above the limit cut from ``text`` (and ``n_chars`` renewed)."""
+def clean(docs: DataFrame, max_docs: int = MAX_KINS) -> DataFrame:
+    """The kept documents, all their columns, boilerplate cut from ``text`` (and ``n_chars`` renewed)."""
     names = fresh(docs, "mr_c1", "mr_c2", "mr_cut", "mr_gone")
     k1, k2, at, gone = names
     c1, c2 = content_id(F.col("source"), F.col("text"))
-    removed = cut(removed_lines(docs.select("source", "text"), max_kins)).toDF(*names)
+    texts = docs.select("source", "text")
+    removed = cut(removed_lines(texts, boilerplate(texts, max_docs))).toDF(*names)
     measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     plain = docs.withColumns({k1: c1, k2: c2})
     inner = plain.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(k1), F.col(k2))

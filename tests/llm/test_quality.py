@@ -66,6 +66,28 @@ def test_copies_do_not_make_boilerplate(docs):
     assert all(r.kept and r.n_removed == 0 for r in quality.line_frequency(docs(rows)).collect())
 
 
+def test_a_footer_with_the_longest_words_goes(docs):
+    footer = "More at https://news.example.com/subscribe/newsletter\nor https://news.example.com/subscribe/by/letter"
+    rows = [(i, body(i) + "\n" + footer) for i in range(30)]
+    assert {r.doc_id: r.text for r in quality.clean(docs(rows)).collect()} == {i: body(i) for i in range(30)}
+
+
+def test_copies_of_one_document_do_not_save_a_footer(docs):
+    rows = [(i, body(min(i, 30)) + "\nthe same line everywhere") for i in range(130)]
+    assert {r.doc_id: r.text for r in quality.clean(docs(rows)).collect()} == {i: body(min(i, 30)) for i in range(130)}
+
+
+def test_documents_with_one_longest_word_are_told_apart(docs):
+    text = lambda i: body(i) + "\nincomprehensibilities"
+    rows = [(i, text(i) + "\nthe same line everywhere") for i in range(30)]
+    assert all("everywhere" not in r.text for r in quality.clean(docs(rows)).collect())
+
+
+def test_near_copies_do_not_make_boilerplate_of_their_text(docs):
+    rows = [(i, body(7).replace(f"word7x{i % 3}y{i % 8} ", f"v{i} ")) for i in range(40)]
+    assert {r.doc_id: r.text for r in quality.clean(docs(rows)).collect()} == dict(rows)
+
+
 def test_repeated_and_null_rows(docs):
     rows = [(None, body(1), None, None), (None, body(1), None, None), (1, None, None, None), (1, body(2))]
     out = quality.line_frequency(docs(rows)).collect()
