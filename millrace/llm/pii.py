@@ -2,24 +2,21 @@
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers; each
 distinct value is a protected entity.  A term is a word of at least three
-characters near an entity (within ``WINDOW`` characters, wholly), lower-cased
-and without punctuation at its ends.  Over the corpus, with N documents, n(e)
-and n(t) that hold entity and term, and n(t, e) in which they are near,
+characters in a document that holds an entity, lower-cased and without
+punctuation at its ends.  Over the corpus, with N distinct documents, n(e) and
+n(t) that hold entity and term, and n(t, e) that hold both,
 
     disclosure(t, e) = PMI(t; e) / IC(e)
                      = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
 says how much of the entity's information the term gives away: 1 if the term
-never occurs without it, 0 if the two are independent.  Terms that are near an
+never occurs without it, 0 if the two are independent.  Terms that are with an
 entity in at least ``MIN_SUPPORT`` documents and disclose ``THRESHOLD`` or more
-of it become spans of kind ``term`` wherever they are near it, and are
-generalised with it.
+of it become spans of kind ``term`` wherever they occur in a document that
+holds the entity, and are generalised with it.
 
-Documents are counted by kin (see ``common.kin``), N apart: copies and near
-copies of one text are one witness, not thousands.
-
-Every entity adds the terms of its own window only, so the pairs grow with the
-text, not with the square of a document's or an entity's occurrences.
+Documents are counted by content: copies of one text are one witness, not
+thousands.  Edited copies are documents of their own.
 
 Defined results: a null text is the empty text, without spans; equal texts get
 equal spans; an empty table gives an empty result; a term that overlaps a base
@@ -28,13 +25,12 @@ match is not a term; other columns are passed through or ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import content_id, cut, fresh, kin, lookup, table, text_of, words_of
+from millrace.llm.common import content_id, cut, fresh, lookup, table, text_of, where_after, words_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 256
 MIN_SUPPORT = 3
 THRESHOLD = 0.8
 
@@ -109,65 +105,68 @@ def _masked(rows: DataFrame, name: str) -> DataFrame:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         blank = F.zip_with(F.split(text, pattern), hits, lambda b, h: F.concat(b, F.coalesce(F.repeat(F.lit(" "), F.length(h)), F.lit(""))))
         rows = rows.withColumn(name, F.when(_gates(text)[k], F.array_join(blank, "")).otherwise(text))
-    return rows
+    # no filter is moved below a generator; below these projections it would hold their expressions many times over
+    return rows.withColumn(name, F.explode(F.array(name)))
 
 
 def _term(word: Column) -> Column:
     return F.btrim(F.lower(word), F.lit(_PUNCTUATION))
 
 
-def near_terms(docs: DataFrame) -> DataFrame:
-    """(c1, c2, kin, ent, term, s, e): each term near an entity of each distinct text; all but s and e are hashes."""
+def _words(docs: DataFrame) -> DataFrame:
+    """(c1, c2, ents, m): each distinct text, hashes of its entities, and the text, masked where it has some."""
     c1, c2 = content_id(F.col("t"))
-    rows = docs.select(text_of().alias("t")).withColumn("spans", base_spans(F.col("t"))).where(F.size("spans") > 0)
-    rows = rows.select("spans", c1.alias("c1"), c2.alias("c2"), kin(words_of(F.col("t"))).alias("kin"), F.col("t").alias("m"))
-    rows = _masked(rows, "m").select("c1", "c2", "kin", "m", F.length("m").alias("n"), F.explode("spans").alias("x"))
-    rows = rows.select("c1", "c2", "kin", "m", "n", "x", F.greatest(F.lit(0), F.col("x.s") - WINDOW).alias("a"), F.least(F.col("n"), F.col("x.e") + WINDOW).alias("b"))
-    rows = rows.withColumn("w", F.substring(F.col("m"), F.col("a") + 1, F.col("b") - F.col("a"))).drop("m")
-    word = r"[^\x20\x09-\x0D]++"
-    parts = F.filter(
-        F.zip_with(F.split("w", word), F.regexp_extract_all("w", F.lit(word), F.lit(0)), lambda b, h: F.struct(F.length(b).alias("gap"), h.alias("v"))),
-        lambda x: x["v"].isNotNull(),
-    )
-    zero = F.struct(F.col("a").alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["v"])
-        one = F.array(F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"))).cast("array<struct<s:int,e:int,v:string>>")
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
-
-    words = F.aggregate(parts, zero, step, lambda acc: acc["out"])
-    whole = F.filter(words, lambda x: ((x["s"] > F.col("a")) | (F.col("a") == 0)) & ((x["e"] < F.col("b")) | (F.col("b") == F.col("n"))))
-    ent = F.xxhash64(F.col("x.k"), F.lower("x.v"))
-    rows = rows.select("c1", "c2", "kin", ent.alias("ent"), F.explode(whole).alias("y"))
-    rows = rows.withColumn("term", _term(F.col("y.v"))).where(F.length("term") >= 3)
-    return rows.select("c1", "c2", "kin", "ent", F.xxhash64("term").alias("term"), F.col("y.s").alias("s"), F.col("y.e").alias("e")).distinct()
-
-
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """(ent, term, disclosure) of the terms at or above the threshold."""
-    pairs = near.select("ent", "term", "kin").distinct().groupBy("ent", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    pairs = cut(pairs.where(F.col("n_te") >= MIN_SUPPORT))
-    n_e = near.select("ent", "kin").distinct().groupBy("ent").agg(F.count(F.lit(1)).alias("n_e"))
-    terms = lookup(pairs.select("term").distinct())
-    base = docs.select(text_of().alias("t")).select(kin(words_of(F.col("t"))).alias("kin"), words_of(F.lower("t")).alias("w"))
-    held = base.select("kin", F.explode(F.array_distinct(F.transform("w", lambda x: F.xxhash64(F.btrim(x, F.lit(_PUNCTUATION)))))).alias("term"))
-    n_t = held.join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    known = pairs.join(n_e, "ent").join(n_t, "term")
-    n = F.lit(float(docs.count()))
-    content = F.log2(n / F.col("n_e"))
-    value = F.when(content > 0, F.log2(n * F.col("n_te") / F.col("n_t") / F.col("n_e")) / content)
-    return known.select("ent", "term", value.alias("disclosure")).where(F.col("disclosure") >= THRESHOLD)
+    rows = docs.select(text_of().alias("t")).withColumn("spans", base_spans(F.col("t")))
+    ents = F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["k"], F.lower(x["v"]))))
+    return rows.select(c1.alias("c1"), c2.alias("c2"), ents.alias("ents"), F.col("t").alias("m"))
+
+
+def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ent, term, disclosure) of the terms at or above the threshold, and (c1, c2, ent) of the texts with an entity that may have some.
+
+    A pair has n(t, e) <= min(n(t), n(e)), so only entities and terms in
+    ``MIN_SUPPORT`` documents, and terms with log(N / n(t)) >= THRESHOLD log(N / n(e)),
+    can reach the threshold; the others are left out before pairs are made.
+    """
+    every = _words(docs)
+    contents = cut(every.select("c1", "c2", "ents").groupBy("c1", "c2").agg(F.first("ents").alias("ents")))
+    n = float(contents.count())
+    held = contents.select("c1", "c2", F.explode("ents").alias("ent"))
+    n_e = lookup(held.groupBy("ent").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= MIN_SUPPORT) & (F.col("n_e") < n)))
+    held = cut(held.join(n_e, "ent"))
+    some = _masked(every.where(F.size("ents") > 0), "m")
+    plain = every.where(F.size("ents") == 0)
+    hashes = F.array_distinct(F.transform(F.filter(F.transform(words_of(F.col("m")), _term), lambda x: F.length(x) >= 3), lambda x: F.xxhash64(x)))
+    terms = lambda rows: rows.select("c1", "c2", hashes.alias("terms")).select("c1", "c2", F.explode("terms").alias("term"))
+    near = cut(terms(some.join(held.select("c1", "c2").distinct(), ["c1", "c2"])).distinct())
+    many = lookup(near.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("term"))
+    n_t = terms(some.unionByName(plain)).join(many, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    most = held.agg(F.max("n_e")).first()[0] or 0
+    content = F.log2(F.lit(n) / F.col("n_e"))
+    # a hair below the threshold, so that rounding leaves out no term that the value itself would keep
+    n_t = lookup(n_t.where(F.log2(F.lit(n) / F.col("n_t")) >= (THRESHOLD - 1e-9) * F.log2(F.lit(n) / F.lit(float(max(most, 1))))))
+    pairs = near.join(n_t, "term").join(held, ["c1", "c2"])
+    pairs = pairs.where(F.log2(F.lit(n) / F.col("n_t")) >= (THRESHOLD - 1e-9) * content)
+    known = pairs.groupBy("ent", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_te") >= MIN_SUPPORT)
+    value = F.log2(F.lit(n) * F.col("n_te") / F.col("n_t") / F.col("n_e")) / content
+    return known.select("ent", "term", value.alias("disclosure")).where(F.col("disclosure") >= THRESHOLD), held.select("c1", "c2", "ent")
 
 
 def term_spans(docs: DataFrame) -> DataFrame:
     """(c1, c2, terms): the term spans of each distinct text that has some."""
-    near = cut(near_terms(docs))
-    found = near.join(lookup(disclosing(docs, near).select("ent", "term")), ["ent", "term"])
-    found = found.select("c1", "c2", "s", "e").distinct()
-    span = F.struct(F.col("s"), F.lit(KINDS.index("term")).alias("k"), F.col("e"), F.lit(None).cast("string").alias("v"))
-    return cut(found.groupBy("c1", "c2").agg(F.collect_list(span).alias("terms")))
+    found, held = disclosing(docs)
+    by_text = held.join(lookup(found.select("ent", "term")), "ent").groupBy("c1", "c2").agg(F.collect_set("term").alias("wanted"))
+    rows = _words(docs).where(F.size("ents") > 0).join(lookup(by_text), ["c1", "c2"]).select("c1", "c2", "wanted", "m")
+    word = r"[^\x20\x09-\x0D]++"
+    rows = _masked(rows, "m").select("c1", "c2", "wanted", F.split("m", word).alias("gaps"), F.regexp_extract_all("m", F.lit(word), F.lit(0)).alias("words"))
+    parts = F.filter(F.arrays_zip("gaps", "words"), lambda x: x["words"].isNotNull())
+    rows = rows.select("c1", "c2", "wanted", F.posexplode(parts).alias("at", "x")).select("c1", "c2", "wanted", "at", F.length("x.gaps").alias("gap"), F.col("x.words").alias("v"))
+    rows = rows.dropDuplicates(["c1", "c2", "at"])
+    before = Window.partitionBy("c1", "c2").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("e", F.sum(F.col("gap") + F.length("v")).over(before).cast("int"))
+    rows = where_after(rows.withColumn("term", F.xxhash64(_term(F.col("v")))), F.array_contains("wanted", F.col("term")))
+    span = F.struct((F.col("e") - F.length("v")).alias("s"), F.lit(KINDS.index("term")).alias("k"), F.col("e"), F.lit(None).cast("string").alias("v"))
+    return cut(rows.groupBy("c1", "c2").agg(F.collect_list(span).alias("terms")))
 
 
 def _count(k: int) -> Column:

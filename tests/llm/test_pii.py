@@ -80,6 +80,13 @@ def test_copies_are_one_witness(docs):
     assert all(r.n_term == 0 for r in pii.find(docs(rows)).collect())
 
 
+def test_an_entity_may_be_the_longest_word(docs):
+    rows = [(i, f"text{i} more{i} bluebird somebody.with.a.long.name@department.corporation.example") for i in range(5)]
+    rows += [(100 + i, f"other{i} text") for i in range(200)]
+    out = {r.doc_id: r for r in pii.find(docs(rows)).collect()}
+    assert all(out[i].n_term == 1 for i in range(5))
+
+
 def test_repeated_and_null_rows(docs):
     rows = [(None, "a@b.co"), (None, "a@b.co"), (1, None), (1, None)]
     out = sorted((r.doc_id is None, r.n_email, r.spans) for r in pii.find(docs(rows)).collect())
