@@ -87,6 +87,16 @@ def test_an_entity_may_be_the_longest_word(docs):
     assert all(out[i].n_term == 1 for i in range(5))
 
 
+def test_terms_anywhere_in_the_document(docs):
+    rows = [(i, f"Bluebird, {fill(i, 90)} bob@corp.com {fill(1000 + i, 90)} bluebird") for i in range(5)]
+    rows += [(100 + i, fill(100 + i)) for i in range(200)]
+    out = {r.doc_id: r.spans for r in pii.find(docs(rows)).collect()}
+    n = len(rows[0][1])
+    assert out[0].startswith("term:0:9,") and out[0].endswith(f",term:{n - 8}:{n}") and out[0].count("term") == 2
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows)).collect()}
+    assert all(clean[i] == f"[TERM] {fill(i, 90)} [EMAIL] {fill(1000 + i, 90)} [TERM]" for i in range(5))
+
+
 def test_repeated_and_null_rows(docs):
     rows = [(None, "a@b.co"), (None, "a@b.co"), (1, None), (1, None)]
     out = sorted((r.doc_id is None, r.n_email, r.spans) for r in pii.find(docs(rows)).collect())
