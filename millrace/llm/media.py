@@ -170,23 +170,37 @@ def _synchsafe(b: bytes) -> int:
     return (b[0] & 127) << 21 | (b[1] & 127) << 14 | (b[2] & 127) << 7 | b[3] & 127
 
 
+def _counted(data: bytes, start: int) -> int:
+    """Where the frames end that the first one's table counts; ``start`` if it counts none, or they are not there."""
+    h, found = header(data[start : start + 4]), Stream()
+    if h is None or not _table(data, start, h, found):
+        return start
+    at = start + h.length
+    for _ in range(found.table_frames or 0):
+        b = header(data[at : at + 4])
+        if b is None or not _like(b, h) or at + b.length > len(data):
+            return start
+        at += b.length
+    return at
+
+
 def _tags(data: bytes, out: Stream) -> tuple[int, int]:
-    """Where the audio may begin and end."""
+    """Where the audio may begin and end; what looks like a tag inside of counted frames is none."""
     start, end = 0, len(data)
     while data[start : start + 3] == b"ID3" and start + 10 <= end:
         n = 10 + _synchsafe(data[start + 6 : start + 10]) + 10 * bool(data[start + 5] & 0x10)
         out.tags["ID3v2"] = out.tags.get("ID3v2", 0) + n
         start += n
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
+    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG" and end - 128 >= _counted(data, start):
         out.tags["ID3v1"], end = 128, end - 128
     if end - start >= 15 and data[end - 9 : end] == b"LYRICS200" and data[end - 15 : end - 9].isdigit():
         n = int(data[end - 15 : end - 9]) + 15
-        if n <= end - start:
+        if n <= end - start and end - n >= _counted(data, start):
             out.tags["Lyrics3"], end = n, end - n
     if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size, flags = struct.unpack("<I4xI", data[end - 20 : end - 8])
         n = size + 32 * bool(flags & 0x80000000)
-        if n <= end - start:
+        if n <= end - start and end - n >= _counted(data, start):
             out.tags["APEv2"], end = n, end - n
     return min(start, end), end
 

@@ -296,6 +296,19 @@ def test_media_streams():
         assert s.offsets == [] and s.seconds == 0 and media.feature(s).startswith("frames=0;")
 
 
+def test_media_keeps_a_payload_that_looks_like_a_tag():
+    ape = b"y" * 161 + b"APETAGEX" + (2000).to_bytes(4, "little") + (40).to_bytes(4, "little")
+    for text in (b"x" * 65 + b"TAG", b"x" * (65 + 192) + b"TAG" + b"z" * 124, ape.ljust(192)):
+        payload = text.ljust(-(-len(text) // 192) * 192)
+        data = media.store(payload)
+        assert media.load(data, media.parse(data)) == payload
+        tagged = media.parse(data + b"TAG" + bytes(125))
+        assert media.load(data, tagged) == payload and tagged.tags["ID3v1"] == 128
+    small = ape[:169] + (40).to_bytes(4, "little") * 2
+    data = media.store(small.ljust(192))
+    assert media.load(data, media.parse(data)) == small.ljust(192)
+
+
 def test_media_checksums_and_tables():
     data = bytearray(media.store(b"x" * 192 * 8))
     s = media.parse(bytes(data))
