@@ -6,6 +6,7 @@ maximal run of anything else.  A null text counts as the empty text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,32 +44,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def with_columns(df: DataFrame, columns: tuple[str, ...], types: tuple[str, ...]) -> DataFrame:
-    """``df`` plus a null column for each of ``columns`` that it lacks."""
-    have = {c.lower() for c in df.columns}
-    for name, kind in zip(columns, types, strict=True):
-        if name.lower() not in have:
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    return df
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) a temporary folder stands in for it.
+    The folder is the session's ``spark.checkpoint.dir``; only on a local master
+    (tests, one machine) a temporary folder stands in where that is unset.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def lookup(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (numbers and strings) materialised; with the broadcast hint if it was measured to have at most ``most`` bytes."""
+    """``df`` (numbers, strings, and arrays of numbers) materialised; with the broadcast hint if it was measured to have at most ``most`` bytes."""
     kept = cut(df)
     strings = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in kept.dtypes if kind == "string"]
+    strings += [F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) * 8 for c, kind in kept.dtypes if kind.startswith("array")]
     size = sum(strings, F.lit(ROW_BYTES + 8 * len(kept.columns)).cast("long"))
     total = kept.agg(F.sum(size)).first()[0] or 0
     return F.broadcast(kept) if total <= most else kept
@@ -91,11 +86,23 @@ def content_id(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*marked), F.xxhash64(F.lit("second"), *marked)
 
 
-def kin(words: Column) -> Column:
-    """Hash of the longest word (the greatest of several); copies of a text, near copies too, mostly share it.
-
-    Counting distinct values of it, rather than rows, keeps a text that was
-    copied many times from looking like something that many texts share.
-    """
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    return F.xxhash64(F.coalesce(longest["w"], F.lit("")))
+def components(pairs: DataFrame) -> DataFrame:
+    """(a, b) links of any orderable type to (node, root): every linked node and the least node it reaches."""
+    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = None
+    while True:
+        # large star: larger neighbours move to the least of the neighbourhood
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
+        moved = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: smaller neighbours, and the node, move to the least of them
+        down = moved.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        joined = moved.join(down, F.col("u") == F.col("k"))
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v")))
+        edges = cut(small.distinct())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

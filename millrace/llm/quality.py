@@ -5,15 +5,11 @@ each (host, line) the documents that hold it are counted, and a line above the
 limit is boilerplate: it is cut from its documents, and a document of which
 too little is left is rejected.
 
-Copies of one text would make each of its lines look like boilerplate, so two
-numbers are taken for a line: the documents that hold it, and the distinct
-*kins* among them (see ``common.kin``; copies and near copies share their kin).
-A line is above the limit if it has over ``max_kins`` kins and these are at
-least half of its documents.
-
-That is the rule of ``OP5_SQL``, and ``line_frequency`` keeps to it.  It never
-cuts a line that holds its documents' longest word, nor one whose documents
-have many copies, so ``clean`` counts distinct documents (``boilerplate``).
+A near-copied text is not boilerplate, though each of its lines is in many
+documents: exact copies and near copies (``near.classes``, at a similarity of
+0.8) are one document in these counts, however many there are.  Lines in over
+``max_docs`` different texts of their host are found first, and near copies are
+looked for among the texts that hold one.
 
 Defined results: a null text is the empty text (0 words, fails the base
 rules); a null source is a host of its own; equal rows get equal verdicts and
@@ -26,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import content_id, cut, fresh, kin, lookup, table, text_of, where_after, words_of
+from millrace.llm import near
+from millrace.llm.common import content_id, cut, fresh, lookup, table, text_of, where_after, words_of
 
-MAX_KINS = 20
+#: Documents of one host that may share a line.
+MAX_DOCS = 20
 MIN_WORDS = 10
 #: A document is depleted if over this share of its words is removed.
 MAX_REMOVED_PERCENT = 80
@@ -87,17 +85,6 @@ def base_metrics(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
 
 
-def frequent_lines(docs: DataFrame, max_kins: int = MAX_KINS) -> DataFrame:
-    """``key`` of each (host, normalised line) above the limit, with n_docs and n_kins."""
-    base = docs.select(F.col("source"), text_of().alias("t"))
-    base = base.select("source", _normal_lines("t").alias("lines"), words_of(F.col("t")).alias("w"))
-    # the kin is taken in a projection of its own: beside explode it would be taken again for each line
-    base = base.select(kin(F.col("w")).alias("kin"), F.array_distinct(F.transform("lines", _key)).alias("keys"))
-    keyed = base.select("kin", F.explode("keys").alias("key"))
-    by_kin = keyed.groupBy("key", "kin").agg(F.count(F.lit(1)).alias("n"))
-    return by_kin.groupBy("key").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_kins")).where((F.col("n_kins") > max_kins) & (F.col("n_kins") * 2 >= F.col("n_docs")))
-
-
 def _normal_lines(col: str) -> Column:
     return F.filter(F.transform(_lines(F.col(col)), _normal), lambda x: x != "")
 
@@ -106,41 +93,25 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.col("source").isNull(), F.col("source"), line)
 
 
-def boilerplate(docs: DataFrame, max_docs: int = MAX_KINS) -> DataFrame:
-    """``key`` of each (host, normalised line) in over ``max_docs`` distinct documents.
-
-    Lines in over ``max_docs`` contents are shared.  A content with most of its
-    words in other lines is a document of its own.  The rest, near copies and
-    documents of little but boilerplate, are told apart by their longest word
-    outside the line in question.
-    """
-    c1, c2 = content_id(F.col("source"), F.col("text"))
+def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """``key`` of each (host, normalised line) in over ``max_docs`` documents of the host, near copies counting as one, with n_docs."""
+    c1, c2 = content_id(text_of())
     base = docs.select("source", text_of().alias("t"), c1.alias("c1"), c2.alias("c2"))
     keys = base.select("source", "c1", "c2", _normal_lines("t").alias("lines")).select("c1", "c2", F.array_distinct(F.transform("lines", _key)).alias("keys"))
     held = cut(keys.select("c1", "c2", F.explode("keys").alias("key")).distinct())
     shared = lookup(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("key"))
-    by_doc = held.join(shared, "key").groupBy("c1", "c2").agg(F.collect_list("key").alias("shared"))
-    split = F.transform(_lines(F.col("t")), lambda x: F.struct(_key(_normal(x)).alias("key"), words_of(x).alias("w")))
-    longest = lambda w: F.array_max(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))
-    lines = base.select("c1", "c2", F.transform(split, lambda x: F.struct(longest(x["w"]).alias("top"), x["key"].alias("key"), F.size(x["w"]).alias("n"))).alias("lines"))
-    found = lines.select("c1", "c2", F.filter("lines", lambda x: x["n"] > 0).alias("lines")).join(by_doc, ["c1", "c2"])
-    words = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["n"])
-    found = found.withColumn("own", words(F.filter("lines", lambda x: ~F.array_contains("shared", x["key"]))) * 2 > words(F.col("lines")))
-    found = found.withColumn("first", F.array_max("lines"))
-    found = found.withColumn("other", F.array_max(F.filter("lines", lambda x: x["key"] != F.col("first.key"))))
-    found = found.select("c1", "c2", "own", "first", "other", F.explode("shared").alias("key"))
-    kins = F.xxhash64(F.when(F.col("key") == F.col("first.key"), F.col("other.top.w")).otherwise(F.col("first.top.w")))
-    found = found.select("key", "own", *(F.when(F.col("own"), F.col(c)).otherwise(kin_).alias(c) for c, kin_ in (("c1", kins), ("c2", F.lit(0).cast("long")))))
-    return found.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
+    held = cut(held.join(shared, "key"))
+    some = base.select("c1", "c2", "t").join(lookup(held.select("c1", "c2").distinct()), ["c1", "c2"])
+    classed = near.with_classes(held, near.classes(some)).select("key", "k1", "k2").distinct()
+    return classed.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
 def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """(c1, c2, at, n_removed): for each content with lines of ``frequent`` their indexes and words."""
     c1, c2 = content_id(F.col("source"), F.col("text"))
     lines = docs.select("source", c1.alias("c1"), c2.alias("c2"), F.posexplode(_lines(text_of())).alias("at", "line"))
-    lines = lines.withColumn("norm", _normal(F.col("line"))).where(F.col("norm") != "")
-    lines = lines.select("c1", "c2", "at", _key(F.col("norm")).alias("key"), F.size(words_of(F.col("norm"))).alias("n"))
-    hit = lines.join(frequent.select("key"), "key")
+    lines = lines.select("c1", "c2", "at", _normal(F.col("line")).alias("norm"), "source").withColumn("key", _key(F.col("norm")))
+    hit = lines.join(lookup(frequent.select("key")), "key").select("c1", "c2", "at", F.size(words_of(F.col("norm"))).alias("n"))
     once = hit.groupBy("c1", "c2", "at").agg(F.max("n").alias("n"))  # rows of equal content give the same lines
     return once.groupBy("c1", "c2").agg(F.collect_list("at").alias("at"), F.sum("n").alias("n_removed"))
 
@@ -150,12 +121,12 @@ def _depleted(n_words: Column, n_removed: Column) -> Column:
     return (gone > 0) & ((n_words - gone < MIN_WORDS) | (gone * 100 > n_words * MAX_REMOVED_PERCENT))
 
 
-def line_frequency(docs: DataFrame, max_kins: int = MAX_KINS) -> DataFrame:
+def line_frequency(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """Per document: doc_id, the base figures, kept, and n_removed words in lines above the limit."""
     c1, c2 = content_id(F.col("source"), F.col("text"))
     docs = docs.select("doc_id", "source", "text")
     measured = base_metrics(docs.withColumns({"c1": c1, "c2": c2}), text_of()).drop("text", "source")
-    found = measured.join(removed_lines(docs, frequent_lines(docs, max_kins)).drop("at"), ["c1", "c2"], "left")
+    found = measured.join(lookup(removed_lines(docs, frequent_lines(docs, max_docs)).drop("at")), ["c1", "c2"], "left")
     return found.select(
         "doc_id",
         "n_words",
@@ -169,13 +140,13 @@ def line_frequency(docs: DataFrame, max_kins: int = MAX_KINS) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, max_docs: int = MAX_KINS) -> DataFrame:
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """The kept documents, all their columns, boilerplate cut from ``text`` (and ``n_chars`` renewed)."""
     names = fresh(docs, "mr_c1", "mr_c2", "mr_cut", "mr_gone")
     k1, k2, at, gone = names
     c1, c2 = content_id(F.col("source"), F.col("text"))
     texts = docs.select("source", "text")
-    removed = cut(removed_lines(texts, boilerplate(texts, max_docs))).toDF(*names)
+    removed = lookup(removed_lines(texts, frequent_lines(texts, max_docs))).toDF(*names)
     measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     plain = docs.withColumns({k1: c1, k2: c2})
     inner = plain.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(k1), F.col(k2))
@@ -193,7 +164,7 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, source, text, coalesce(text, '') AS t, row_number() OVER () AS id FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, text, coalesce(text, '') AS t, row_number() OVER () AS id FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS l FROM d),
 win AS (SELECT id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 dup AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, s) AS n FROM win) WHERE n > 1),
@@ -203,9 +174,17 @@ base AS (SELECT w.id, doc_id, source, text, l, w, len(w)::BIGINT AS n_words, coa
   (len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON w.id = rep.id),
 ln AS (SELECT id, source, unnest(range(1, len(l) + 1)) AS at, trim(regexp_replace(lower(unnest(l)), '[0-9]', '0', 'g'), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS norm FROM base),
-kin AS (SELECT id, coalesce(list_max(list_transform(w, lambda x: struct_pack(n := length(x), w := x))).w, '') AS kin FROM base),
-freq AS (SELECT source, norm FROM (SELECT DISTINCT ln.id, ln.source, ln.norm, kin.kin FROM ln JOIN kin ON ln.id = kin.id WHERE ln.norm <> '')
-  GROUP BY source, norm HAVING count(DISTINCT kin) > 20 AND count(DISTINCT kin) * 2 >= count(*)),
+text_line AS (SELECT DISTINCT t, ln.source, norm FROM ln JOIN d ON d.id = ln.id WHERE norm <> ''),
+shared AS (SELECT source, norm FROM text_line GROUP BY source, norm HAVING count(*) > 20),
+held AS (SELECT t, x.source, x.norm FROM text_line x JOIN shared s ON x.source IS NOT DISTINCT FROM s.source AND x.norm = s.norm),
+cand AS (SELECT t, row_number() OVER (ORDER BY t) AS k, list_filter(regexp_split_to_array(lower(t), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT t FROM held)),
+sh AS (SELECT DISTINCT k, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM cand WHERE len(w) > 0)),
+n_sh AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+met AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM sh a JOIN sh b ON a.s = b.s AND a.k <> b.k GROUP BY 1, 2),
+link AS (SELECT a, b FROM met JOIN n_sh x ON x.k = a JOIN n_sh y ON y.k = b WHERE met.n >= 0.8 * (x.n + y.n - met.n)),
+reach AS (SELECT k AS a, k AS b FROM cand UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+class AS (SELECT cand.t, min(b) AS class FROM reach JOIN cand ON cand.k = reach.a GROUP BY cand.t),
+freq AS (SELECT source, norm FROM held JOIN class ON class.t = held.t GROUP BY source, norm HAVING count(DISTINCT class) > 20),
 gone AS (SELECT ln.id, sum(len(list_filter(regexp_split_to_array(ln.norm, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS n FROM ln JOIN freq ON ln.source IS NOT DISTINCT FROM freq.source AND ln.norm = freq.norm GROUP BY ln.id),
 f AS (SELECT base.*, coalesce(gone.n, 0)::BIGINT AS n_removed, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base LEFT JOIN gone ON base.id = gone.id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

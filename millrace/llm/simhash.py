@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from millrace.llm.common import content_id, cut, fresh, table
+from millrace.llm.common import components, content_id, cut, fresh, table
 
 SHINGLE = 3
 RADIUS = 2
@@ -73,28 +73,6 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(a, b) links of longs to (node, root): every linked node and the least node it reaches."""
-    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        # large star: larger neighbours move to the least of the neighbourhood
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-        moved = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: smaller neighbours, and the node, move to the least of them
-        down = moved.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = moved.join(down, F.col("u") == F.col("k"))
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        edges = cut(small.distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def _classes(known: DataFrame) -> DataFrame:
     """(fp, root) for the distinct fingerprints of ``known`` that have links."""
     return components(links(known.select("fp").distinct()))
