@@ -1,14 +1,16 @@
 """URL filters: a blocked Bloom filter before an exact hash join.
 
 A list holds canonical URLs: of whole sites (``host/``) or of single pages
-(``host/path``).  A URL is looked up as its page and as the site of its host
-and of each of that host's ``SITE_LABELS`` closest parent domains.  The listed
-keys are hashed into a blocked Bloom filter (one 512-bit block of eight words a
-key, one bit in each word), which has at most ``MAX_BLOCKS`` blocks, 4 MiB,
-however long the list is; Spark builds it with bitwise OR, and it is broadcast.
-URLs without a possible hit are done.  The others are joined exactly with the
-list by hash, which removes the filter's false positives; a long list only
-sends more rows there, it changes no verdict.
+(``host/path``).  A URL is looked up as its page and as the site of its host and
+of each of that host's parent domains; a domain name has 127 labels at most, so
+of a longer host only itself and the parents that can be names are asked for.
+The listed keys are hashed into a blocked Bloom filter (one 512-bit block of
+eight words a key, one bit in each word), which has at most ``MAX_BLOCKS``
+blocks, 4 MiB, however long the list is; Spark builds it with bitwise OR, and it
+is broadcast.  Keys without a possible hit are done.  The others are joined
+exactly with the list (a hash join on a broadcast list of measured size, else a
+shuffled join), which removes the filter's false positives; a long list only
+sends more keys there, it changes no verdict.
 
 Allow and block rules come first: a rule (host, path) fits its host and all
 subdomains if the URL's path starts with the rule's path; the longest rule
@@ -31,14 +33,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BooleanType
 
-from millrace.llm.common import cut, table
+from millrace.llm.common import lookup, table
 
 MAX_BLOCKS = 1 << 16
 KEYS_A_BLOCK = 40
-#: The host itself and so many of its parents are looked up as sites.
-SITE_LABELS = 3
+#: Labels of a domain name, at most.
+MAX_LABELS = 127
 WORDS = 8
 
 RULES = (
@@ -49,8 +51,10 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: The registered query lists the sites whose host has one of these words between dots and hyphens.
+#: The registered query's list: the domains with one of these words in their name,
 LISTED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+#: and the single pages whose text has two of these or more.
+ABUSE = ("disgusting", "moron", "pathetic", "scum", "stupid")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,19 +82,14 @@ def canonical(site: Column, path: Column) -> Column:
     return F.when(site != "", F.concat(site, F.when(bare == "", F.lit("/")).otherwise(bare)))
 
 
-def with_keys(rows: DataFrame, names: list[str]) -> DataFrame:
-    """``rows`` (host, path) with the page key, then the site keys from the host upwards; null where there is none.
-
-    Site and labels are columns before they are used, so that they are taken once.
-    """
-    rows = rows.withColumn("site", site_of(F.col("host"))).withColumn("labels", F.split("site", r"\."))
-    whole = F.concat("site", F.lit("/"))
-    page = canonical(F.col("site"), F.col("path"))
-    keys = [F.when(~page.eqNullSafe(whole), page), F.when(F.col("site") != "", whole)]
-    for k in range(1, SITE_LABELS + 1):
-        parent = F.array_join(F.slice("labels", k + 1, F.greatest(F.size("labels") - k, F.lit(1))), ".")
-        keys.append(F.when((F.col("site") != "") & (F.size("labels") > k + 1), F.concat(parent, F.lit("/"))))
-    return rows.withColumns(dict(zip(names, keys, strict=True))).drop("site", "labels")
+def keys_of(rows: DataFrame, *others: str) -> DataFrame:
+    """A row for each key of each of ``rows`` (host, path): the page, and the site of the host and of each parent."""
+    rows = rows.select(*others, site_of(F.col("host")).alias("site"), "path").where("site <> ''")
+    rows = rows.select(*others, "site", canonical(F.col("site"), F.col("path")).alias("page"), F.split("site", r"\.").alias("labels"))
+    first = F.greatest(F.lit(2), F.size("labels") - MAX_LABELS + 1)
+    parents = F.transform(F.when(F.size("labels") > 1, F.sequence(first, F.size("labels"))), lambda i: F.concat(F.array_join(F.slice("labels", i, F.lit(MAX_LABELS)), "."), F.lit("/")))
+    keys = F.concat(F.array("page", F.concat("site", F.lit("/"))), F.coalesce(parents, F.array().cast("array<string>")))
+    return rows.select(*others, keys.alias("keys")).select(*others, F.explode("keys").alias("key"))
 
 
 def _probe(key: Column, blocks: int) -> tuple[Column, list[Column]]:
@@ -118,21 +117,16 @@ def possible(filled: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.nd
     return ((words >> bits) & np.uint64(1)).all(axis=1)
 
 
-def _passing(spark: SparkSession, filled: np.ndarray, keys: list[Column]) -> Column:
-    """Bit k of the result: key k is there and may be listed."""
+def _passing(spark: SparkSession, filled: np.ndarray, key: Column) -> Column:
+    """Whether the key may be listed."""
     shared = spark.sparkContext.broadcast(filled)
-    n = len(keys)
 
-    @F.pandas_udf(IntegerType())
-    def passing(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in parts:
-            out = np.zeros(len(columns[0]), dtype=np.int32)
-            for k in range(n):
-                known, first, second = (columns[3 * k + j].to_numpy() for j in range(3))
-                out |= (possible(shared.value, first, second) & known.astype(bool)).astype(np.int32) << k
-            yield pd.Series(out)
+    @F.pandas_udf(BooleanType())
+    def passing(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for first, second in parts:
+            yield pd.Series(possible(shared.value, first.to_numpy(), second.to_numpy()))
 
-    return passing(*(c for k in keys for c in (k.isNotNull(), F.xxhash64(k), F.xxhash64(F.lit("bits"), k))))
+    return passing(F.xxhash64(key), F.xxhash64(F.lit("bits"), key))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -150,52 +144,47 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str]
     rows = rows.withColumns({"rule": rule, "by_rule": verdict})
     url = listed.select(F.col("url").cast("string").alias("url"))
     url = url.select(site_of(host_of(F.col("url"))).alias("site"), path_of(F.col("url")).alias("path"))
-    keys = cut(url.select(canonical(F.col("site"), F.col("path")).alias("key")).where("key IS NOT NULL").distinct())
+    keys = lookup(url.select(canonical(F.col("site"), F.col("path")).alias("key")).where("key IS NOT NULL").distinct())
     filled = bloom_filter(keys, keys.count())
-    wanted = [f"key{k}" for k in range(SITE_LABELS + 2)]
-    rows = with_keys(rows, wanted)
-    rows = rows.withColumn("hits", _passing(spark, filled, [F.when(F.col("rule").isNull(), F.col(k)) for k in wanted]))
-    hit = rows.where("hits <> 0")
-    passed = F.array_compact(F.array(*(F.when(F.col("hits").bitwiseAND(F.lit(1 << k)) != 0, F.col(key)) for k, key in enumerate(wanted))))
-    asked = hit.select("url", F.explode(passed).alias("key")).distinct()
-    found = asked.join(keys.hint("shuffle_hash"), "key").groupBy(F.col("url").alias("u")).agg(F.max_by("key", F.struct(F.length("key"), "key")).alias("listed"))
-    rest = ("page_id", "url", "host", "path", "rule", "by_rule")
-    judged = hit.select(*rest).join(found, F.col("url") == F.col("u"), "left").drop("u")
-    out = judged.unionByName(rows.where("hits = 0").select(*rest).withColumn("listed", F.lit(None).cast("string")))
+    asked = keys_of(rows.where("rule IS NULL"), "url")
+    asked = asked.where(_passing(spark, filled, F.col("key"))).distinct()
+    found = asked.join(keys, "key").groupBy(F.col("url").alias("u")).agg(F.max_by("key", F.struct(F.length("key"), "key")).alias("listed"))
+    judged = rows.join(lookup(found), F.col("url") == F.col("u"), "left")
     by_list = F.when(F.col("listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_list).alias("verdict"), "listed")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_list).alias("verdict"), "listed")
 
 
-def sites_with(pages: DataFrame, words: tuple[str, ...] = LISTED_WORDS) -> DataFrame:
-    """(url) of the sites of ``pages`` whose host has one of ``words``: a list that grows with the table."""
-    hosts = pages.select(host_of(F.col("url").cast("string")).alias("host")).distinct()
-    return hosts.where(F.col("host").rlike(rf"(^|[.-])({'|'.join(words)})([.-]|$)")).select(F.concat(F.lit("http://"), F.col("host"), F.lit("/")).alias("url"))
+def a_list(pages: DataFrame, words: tuple[str, ...] = LISTED_WORDS, abuse: tuple[str, ...] = ABUSE) -> DataFrame:
+    """(url): a list of domains and single pages that grows with the table, in place of one from elsewhere."""
+    rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = rows.select("url", site_of(host_of(F.col("url"))).alias("site"), (F.regexp_count("html", F.lit("|".join(abuse))) >= 2).alias("bad"))
+    domain = F.regexp_extract("site", rf"[^.]*(?:{'|'.join(words)})[^.]*\..*$", 0)
+    sites = rows.select(domain.alias("domain")).where("domain <> ''").distinct().select(F.concat(F.lit("http://"), "domain", F.lit("/")).alias("url"))
+    return sites.unionByName(rows.where("bad").select("url"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, sites_with(pages))
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages.select("page_id", "url"), a_list(pages))
 
 
 OP2_SQL = r"""
-WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+WITH r AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
 bare AS (SELECT *, regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '^www\.', '') AS site FROM h),
-listed AS (SELECT DISTINCT site || '/' AS key FROM bare WHERE site <> '' AND regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)')),
-k AS (SELECT *, string_split(site, '.') AS l FROM bare),
-s AS (SELECT *, [CASE WHEN site <> '' THEN site || '/' END,
-  CASE WHEN len(l) > 2 THEN array_to_string(l[2:], '.') || '/' END,
-  CASE WHEN len(l) > 3 THEN array_to_string(l[3:], '.') || '/' END,
-  CASE WHEN len(l) > 4 THEN array_to_string(l[4:], '.') || '/' END] AS keys FROM k),
+k AS (SELECT *, string_split(site, '.') AS l, site || CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END AS page FROM bare),
+listed AS (SELECT regexp_extract(site, '[^.]*(adult|ads|bets|casino|pills|spam)[^.]*\..*$') || '/' AS key FROM k WHERE regexp_matches(site, '(adult|ads|bets|casino|pills|spam)[^.]*\.')
+  UNION SELECT page FROM k WHERE site <> '' AND len(regexp_extract_all(html, 'disgusting|moron|pathetic|scum|stupid')) >= 2),
+s AS (SELECT *, list_concat([page], list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '.') || '/')) AS keys FROM k),
+hit AS (SELECT page_id, max({'n': length(key), 'k': key}).k AS hit FROM (SELECT page_id, unnest(keys) AS x FROM s WHERE site <> '') JOIN listed ON key = x GROUP BY page_id),
 v AS (SELECT s.*, CASE
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
-    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM s),
-m AS (SELECT v.*, (SELECT arg_max(key, (length(key), key)) FROM listed WHERE list_contains(v.keys, listed.key)) AS hit FROM v)
-SELECT page_id, host, path, rule,
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM s)
+SELECT v.page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN hit IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
-  CASE WHEN rule IS NULL THEN hit END AS listed FROM m
+  CASE WHEN rule IS NULL THEN hit END AS listed FROM v LEFT JOIN hit ON v.page_id = hit.page_id
 """
