@@ -1,17 +1,19 @@
 """Language ID: script ranges, per-word scores, Viterbi with a switching penalty.
 
-A word is a run of letters (cut after ``CHUNK``, which bounds the memory that a
-text takes).  The script of its first letter, by code-point
+A word is a run of letters.  The script of its first letter, by code-point
 range, leaves only the languages that were seen in that script; each of those
 scores the word by the log-probabilities of its letter trigrams (with word
-ends).  Viterbi over the words, at a penalty for each change of language, labels
-spans; the document's language is the one whose spans have most letters, and
-its score is their share.
+ends).  Viterbi over these words, at a penalty for each change of language,
+labels spans.  A word in a script that no language was seen in is evidence for
+none: it takes no part, and is a span ``und`` with others like it.  The
+document's language is the one whose spans have most letters, and its score is
+their share of all its letters.  Texts are scored in parts of ``CHUNK``
+characters, which bounds the memory taken; a word may go on over parts.
 
 Training counts trigrams and scripts for each language on a bounded sample of
 labelled rows: with n rows of a language, those whose hash is 0 modulo
-ceil(n / ``SAMPLE_DOCS``), and the ``MAX_LANGS`` most frequent languages.  The
-model is a table of ``BUCKETS`` hashed trigrams by language, and is broadcast.
+ceil(n / ``SAMPLE_DOCS``).  Every language is learned.  The model is a table of
+``BUCKETS`` hashed trigrams by language, 256 KiB for each, and is broadcast.
 
 Most documents are of one language, and for those Viterbi is not run: the
 constant path is the answer if no stretch of words favours another language by
@@ -20,8 +22,8 @@ through k other languages then gains less than k penalties and pays k at least;
 a path that never comes to the language gains less than k - 1 and pays k - 1.
 
 Defined results: ``und`` with score 0 if a text is null or has no letter, or if
-nothing could be learned; a word in a script that no language was seen in counts
-for none; ties go to the language first in code-point order; equal texts get
+nothing could be learned; a text with letters, but only in unseen scripts, gets
+the first language with score 0; ties go to the language first in code-point order; equal texts get
 equal results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,11 +37,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import lookup, table
 
 #: Labelled documents a language that training reads, about.
 SAMPLE_DOCS = 4000
-MAX_LANGS = 64
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 #: Log-odds that a change of language costs.
@@ -76,12 +77,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return folded, script[np.searchsorted(starts, np.arange(0x110000), side="right") - 1], starts
 
 
-def _letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: the letters' positions, their trigrams' buckets, their scripts, and which of the letters begin a word."""
+def _letters(text: str, before: str = "", after: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text between two characters: the letters' positions, their trigrams' buckets, their scripts, and which of the letters begin a word."""
     folded, scripts, _ = _tables()
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     low = np.zeros(len(points) + 2, dtype=np.uint64)
     low[1:-1] = folded[points]
+    low[0], low[-1] = folded[ord(before or " ")], folded[ord(after or " ")]
     at = np.flatnonzero(low[1:-1])
     a, b, c = low[at], low[at + 1], low[at + 2]
     mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + c * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)
@@ -89,16 +91,10 @@ def _letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return at, bucket, scripts[points[at]], a == 0
 
 
-def pieces(text: str) -> Iterator[tuple[int, str]]:
-    """The text in parts of CHUNK to 2 * CHUNK characters that end between words, each with its place."""
-    start, n = 0, len(text)
-    while n - start > 2 * CHUNK:
-        end = start + CHUNK
-        while end < start + 2 * CHUNK and text[end].isalpha():
-            end += 1
-        yield start, text[start:end]
-        start = end
-    yield start, text[start:]
+def pieces(text: str) -> Iterator[tuple[int, str, str, str]]:
+    """The text in parts of CHUNK characters: the place of each, the part, and the characters before and after it."""
+    for start in range(0, max(1, len(text)), CHUNK):
+        yield start, text[start : start + CHUNK], text[start - 1 : start] if start else "", text[start + CHUNK : start + CHUNK + 1]
 
 
 class Model:
@@ -114,21 +110,31 @@ class Model:
         self.logs = np.log((grams + SMOOTHING) / (grams.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
         self.allowed = (seen > 0) & (seen >= SCRIPT_SHARE * seen.sum(axis=0))
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word: its first position, its letters, and its scores float64[words, languages]."""
-        parts = [self._words(part, start) for start, part in pieces(text)]
-        return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
-
-    def _words(self, text: str, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, bucket, script, begins = _letters(text)
-        first = np.flatnonzero(begins)
-        if not len(first):
-            return first, first, np.zeros((0, len(self.langs)))
-        scores = np.add.reduceat(self.logs[bucket], first, axis=0).astype(np.float64)
-        allowed = self.allowed[script[first]]
-        scores -= UNLIKELY * ~allowed
-        scores[~allowed.any(axis=1)] = 0
-        return at[first] + start, np.diff(np.append(first, len(at))), scores
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: its first position, its letters, its scores float64[words, languages], and whether some language has its script."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for start, *part in pieces(text):
+            at, bucket, script, begins = _letters(*part)
+            if not len(at):
+                continue
+            goes_on = not begins[0]  # a word of the part before
+            first = np.flatnonzero(begins) if not goes_on else np.concatenate([[0], np.flatnonzero(begins)])
+            scores = np.add.reduceat(self.logs[bucket], first, axis=0).astype(np.float64)
+            n, place, script = np.diff(np.append(first, len(at))), at[first] + start, script[first]
+            if goes_on:
+                found[-1][1][-1] += n[0]
+                found[-1][2][-1] += scores[0]
+                n, place, script, scores = n[1:], place[1:], script[1:], scores[1:]
+            if len(n):
+                found.append((place, n, scores, script))
+        if not found:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, np.zeros((0, len(self.langs))), none.astype(bool)
+        place, n, scores, script = found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found))
+        allowed = self.allowed[script]
+        known = allowed.any(axis=1)
+        scores -= UNLIKELY * (~allowed & known[:, None])
+        return place, n, scores, known
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The best language of each word."""
@@ -166,44 +172,43 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
 
 def train(labelled: DataFrame) -> Model:
     """labelled: text, lang and doc_id (for the choice of the sample only), none of them null."""
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
-        return Model({})
-    every = F.lit(None).cast("long")
-    for lang, n in sizes:
-        every = F.when(F.col("lang") == lang, F.lit(-(-n // SAMPLE_DOCS))).otherwise(every)
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), every) == 0).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("l"), F.ceil(F.col("n") / SAMPLE_DOCS).alias("every"))
+    chosen = labelled.join(lookup(sizes), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id"), F.col("every")) == 0).select("lang", "text")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             for lang, own in rows.groupby("lang")["text"]:
                 sums = np.zeros(BUCKETS + SCRIPTS, dtype=np.int64)
-                for part in (part for text in own for _, part in pieces(text)):
-                    _, bucket, script, _ = _letters(part)
+                for part in (part for text in own for _, *part in pieces(text)):
+                    _, bucket, script, _ = _letters(*part)
                     sums[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                     sums[BUCKETS:] += np.bincount(script, minlength=SCRIPTS)
                 at = np.flatnonzero(sums)
                 yield pd.DataFrame({"lang": lang, "at": at, "n": sums[at]})
 
     counted = chosen.mapInPandas(count, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n"))
-    counts: dict[str, dict[int, int]] = {lang: {} for lang, _ in sizes}
-    for lang, at, n in counted.toLocalIterator():  # at most MAX_LANGS * (BUCKETS + SCRIPTS) rows
-        counts[lang][at] = n
-    return Model({k: v for k, v in counts.items() if v})
+    counts: dict[str, dict[int, int]] = {}
+    for lang, at, n in counted.toLocalIterator():  # at most BUCKETS + SCRIPTS rows a language
+        counts.setdefault(lang, {})[at] = n
+    return Model(counts)
 
 
 def label(model: Model, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
     """lang_pred, score and the spans (start, end, language) of one text."""
-    first, letters, scores = model.words(text or "") if model.langs else (np.zeros(0), np.zeros(0), np.zeros((0, 0)))
+    if not model.langs:
+        return "und", 0.0, []
+    first, letters, scores, known = model.words(text or "")
     if not len(first):
         return "und", 0.0, []
-    path = model.path(scores)
-    share = np.bincount(path, weights=letters, minlength=len(model.langs))
+    path = np.full(len(first), -1)
+    if known.any():
+        path[known] = model.path(scores[known])
+    share = np.bincount(path[known], weights=letters[known], minlength=len(model.langs))
     top = int(np.argmax(share))
-    change = np.flatnonzero(np.diff(path, prepend=-1))
+    change = np.flatnonzero(np.diff(path, prepend=-2))
     ends = np.append(change[1:] - 1, len(path) - 1)
-    spans = [(int(first[a]), int(first[b] + letters[b]), model.langs[path[a]]) for a, b in zip(change, ends)]
-    return model.langs[top], float(share[top] / share.sum()), spans
+    spans = [(int(first[a]), int(first[b] + letters[b]), model.langs[path[a]] if path[a] >= 0 else "und") for a, b in zip(change, ends)]
+    return model.langs[top], float(share[top] / letters.sum()), spans
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -239,4 +244,5 @@ def held_out(docs: DataFrame) -> DataFrame:
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = held_out(table(spark, sf_dir, "documents"))
     model = train(docs.where("NOT held_out AND doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL"))
-    return identify(docs.drop("lang"), model).drop("spans")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"], x["lang"])), ",")
+    return identify(docs.drop("lang"), model).withColumn("spans", spans)
