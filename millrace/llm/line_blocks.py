@@ -3,16 +3,20 @@
 A page is cut into lines at its block-level tags; markup, scripts, styles and
 comments go, and a line break that stems from a tag between two regions of a
 page leaves empty lines behind, as in the source of a hand-written page.  The
-length of a line's text is summed over a sliding window of ``WINDOW`` lines.  A
-region begins at a surge, where the sum passes ``SURGE`` characters and stays
-above zero, and ends at a dive, where the sum falls to zero; the text between
-surge and dive is kept, and the tallest region if none surges.
+lines' lengths are summed over a sliding window of ``WINDOW`` lines.  A region
+begins at a surge, where the sum passes ``SURGE`` characters, and ends at a dive,
+where it falls to zero; the text between surge and dive is kept, and that around
+the greatest sum if nothing surges.  This decides on every page.
 
 By itself the distribution takes every long advert for text and every short
-article for noise.  So elements that say what they are (``nav``, ``aside``,
-``form``, a class or id with a word such as ``ad``, ``sidebar``, ``comments``)
-are emptied before the sums are taken, and where a page has an ``article`` or
-``main`` element with text, its lines count as one surge that ends with it.
+article for noise, so what tags say goes into a line's length.  Elements that
+say what they are (``nav``, ``aside``, ``form``, a class or id with a word such
+as ``ad``, ``sidebar``, ``comments``) have length zero.  A line in an ``article``
+or ``main`` element counts ``SURGE`` characters more than it has, so it surges
+by itself; on a page with such lines the others count ``OUTSIDE`` times their
+length.  And as an advert may stand in the middle of a text: headings and
+paragraphs that do not surge are kept with the region that does if they are of
+the same parent element, and so are those just before a surge.
 
 Inside a block white space (also from ``br`` and inline tags' surroundings) is
 one space; blocks are trimmed and joined by an empty line, in page order.
@@ -27,6 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
@@ -39,6 +44,8 @@ WINDOW = 3
 SURGE = 86
 #: Empty lines left where a region of the page ends.
 GAP = 4
+#: What a character outside of a page's article counts.
+OUTSIDE = 0.1
 
 _TAG = re.compile(
     r"""<!--(?:[^-]++|-(?!->))*+(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)"""
@@ -64,10 +71,19 @@ _SAYS = frozenset(
 )
 #: An article of this kind is not the page's; other words in its class say nothing against it.
 _READERS = frozenset("comment comments reply replies respond related recommended sponsored ad advert advertisement promo teaser".split())
+#: What says of an element that an article in it is not the page's.
+_HELD = frozenset("comment comments commentlist disqus discussion replies reply respond related recommended recommendations".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 _BESIDE = frozenset("has have with no not without hide hidden".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 
+def _said(attributes: str) -> set[str]:
+    """The words of class and id."""
+    named = _NAMED.findall(attributes)
+    return {w.lower() for name, value in named if name.lower() in ("class", "id") for w in _WORDS.findall(value.strip("\"'"))}
+
+
 def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     if tag in _GONE or tag == "header" and not inside:
         return True
@@ -91,13 +107,26 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> tuple[list[str], list[bool]]:
-    """The page's lines, empty ones where regions end, and for each whether it is in an article or main element."""
-    lines: list[str] = []
-    main: list[bool] = []
+@dataclass(slots=True)
+class Line:
+    text: str
+    #: Whether it is in an article or main element.
+    main: bool
+    #: Its block element, the element around that, and the former's tag.
+    own: int
+    parent: int
+    tag: str
+
+
+_EMPTY = Line("", False, -1, -1, "")
+
+
+def blocks(html: str) -> list[Line]:
+    """The page's lines, empty ones where regions end."""
+    lines: list[Line] = []
     parts: list[str] = []
-    opened: list[tuple[str, bool, bool]] = []  # tag, boilerplate, main
-    skipping = inside = 0
+    opened: list[tuple[str, bool, bool, bool, int]] = []  # tag, boilerplate, main, holds others' articles, number
+    skipping = inside = n_elements = 0
     pos, end = 0, len(html)
     n_open: Counter[str] = Counter()
 
@@ -106,14 +135,14 @@ def blocks(html: str) -> tuple[list[str], list[bool]]:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                lines.append(text)
-                main.append(inside > 0)
-        lines.extend([""] * gap)
-        main.extend([inside > 0] * gap)
+                around = [x for x in reversed(opened) if x[0] not in _INLINE][:2]
+                (tag, own), parent = (around[0][0], around[0][4]) if around else ("", 0), around[1][4] if len(around) > 1 else 0
+                lines.append(Line(text, inside > 0, own, parent, tag))
+        lines.extend([_EMPTY] * gap)
 
     def close(k: int) -> None:
         nonlocal skipping, inside
-        for tag, bad, central in reversed(opened[k:]):
+        for tag, bad, central, *_ in reversed(opened[k:]):
             if not skipping and tag not in _INLINE:
                 flush(GAP if central else 0)
             skipping -= bad
@@ -176,69 +205,87 @@ def blocks(html: str) -> tuple[list[str], list[bool]]:
         if central and skipping:
             # an advert or menu that was never closed does not swallow the article
             k = next((k for k in range(len(opened)) if opened[k][1]), -1)
-            if opened[k][0] not in ("aside", "form", "template") and not inside and not any(w in html[max(0, at - 4000) : at].lower() for w in ("comment", "related")):
+            if not inside and not any(x[3] for x in opened[k:]):
                 close(k)
         central = central and not skipping
         if bad and not skipping:
             flush(GAP)
-        opened.append((tag, bad, central))
+        n_elements += 1
+        opened.append((tag, bad, central, bad and (tag in ("aside", "form", "template") or bool(_HELD & _said(attributes))), n_elements))
         n_open[tag] += 1
         skipping += bad
         inside += central
     if not skipping:
         flush()
-    return lines, main
+    return lines
+
+
+def weights(lines: list[Line]) -> list[float]:
+    """What each line counts in the sums."""
+    has_main = any(x.main and x.text for x in lines)
+    return [0 if not x.text else len(x.text) + SURGE if x.main else len(x.text) * OUTSIDE if has_main else len(x.text) for x in lines]
 
 
-def surges(lengths: list[int]) -> list[tuple[int, int]]:
-    """[start, end) of the regions between a surge and a dive."""
-    n = len(lengths)
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
+def surges(counts: list[float]) -> list[tuple[int, int, int]]:
+    """(start of the run, surge, dive) of each region between a surge and a dive."""
+    n = len(counts)
+    sums = [sum(counts[i : i + WINDOW]) for i in range(n)]
     out, i = [], 0
     while i < n:
-        if not lengths[i]:
+        if not counts[i]:
             i += 1
             continue
-        j = i
+        j, surge = i, -1
         while j < n and sums[j]:
+            if surge < 0 and sums[j] > SURGE:
+                surge = j
             j += 1
-        if max(sums[i:j]) > SURGE:
-            out.append((i, j))
+        if surge >= 0:
+            out.append((i, surge, j))
         i = j
-    if not out and any(lengths):
+    if not out and any(counts):
         top = max(range(n), key=lambda k: (sums[k], -k))
         start = stop = top
         while start > 0 and sums[start - 1]:
             start -= 1
         while stop < n and sums[stop]:
             stop += 1
-        out = [(start, stop)]
+        out = [(start, start, stop)]
     return out
 
 
-def main_text(html: str | None) -> str:
-    """The main text of one page."""
+def main_text(html: str | None) -> tuple[str, int, int]:
+    """The main text of one page, its lines with text, and its surges."""
     if not html:
-        return ""
-    lines, main = blocks(html)
-    if any(m and x for x, m in zip(lines, main)):
-        kept = [x for x, m in zip(lines, main) if m and x]
-    else:
-        kept = [x for a, b in surges([len(x) for x in lines]) for x in lines[a:b] if x]
-    return "\n\n".join(kept)
+        return "", 0, 0
+    lines = blocks(html)
+    counts = weights(lines)
+    found = surges(counts)
+    kept = set()
+    for start, surge, dive in found:
+        while surge > start and lines[surge - 1].tag in _TEXT:
+            surge -= 1
+        kept.update(range(surge, dive))
+    has_main = any(x.main and x.text for x in lines)
+    if not has_main:
+        parents = {lines[k].parent for k in kept if lines[k].text and lines[k].tag in _TEXT} - {0}
+        kept.update(k for k, x in enumerate(lines) if x.text and (x.tag in _TEXT and x.parent in parents or x.own in parents))
+    return "\n\n".join(lines[k].text for k in sorted(kept) if lines[k].text), sum(bool(x.text) for x in lines), len(found)
 
 
 def _extract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pages in parts:
-        texts = [main_text(h) for h in pages["html"]]
-        yield pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        found = [main_text(h) for h in pages["html"]]
+        yield pd.DataFrame(
+            {"page_id": pages["page_id"], "url": pages["url"], "text": [x[0] for x in found], "n_chars": [len(x[0]) for x in found], "n_lines": [x[1] for x in found], "n_surges": [x[2] for x in found]}
+        )
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
+    """Per page: page_id, url, text, n_chars, n_lines (lines with text outside of boilerplate) and n_surges."""
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.col("html").cast("string").alias("html"))
     kind = dict(pages.dtypes)["page_id"]
-    out = rows.mapInPandas(_extract, "page_id string, url string, text string, n_chars long")
+    out = rows.mapInPandas(_extract, "page_id string, url string, text string, n_chars long, n_lines long, n_surges long")
     return out.withColumn("page_id", F.col("page_id").cast(kind))
 
 
