@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -60,10 +60,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (numbers, strings, and arrays of numbers) materialised; with the broadcast hint if it was measured to have at most ``most`` bytes."""
+    """``df`` (numbers, strings, arrays of longs and of structs of three numbers) materialised; with the broadcast hint if it was measured to have at most ``most`` bytes."""
     kept = cut(df)
     strings = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in kept.dtypes if kind == "string"]
-    strings += [F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) * 8 for c, kind in kept.dtypes if kind.startswith("array")]
+    strings += [F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) * 8 for c, kind in kept.dtypes if kind.startswith("array<bigint")]
+    strings += [F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) * 24 for c, kind in kept.dtypes if kind.startswith("array<struct")]
     size = sum(strings, F.lit(ROW_BYTES + 8 * len(kept.columns)).cast("long"))
     total = kept.agg(F.sum(size)).first()[0] or 0
     return F.broadcast(kept) if total <= most else kept
@@ -86,6 +87,45 @@ def content_id(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*marked), F.xxhash64(F.lit("second"), *marked)
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums of longs in a total order, the row itself included, and no task that sees all rows.
+
+    Rows are dealt by ranges of the order; each range is summed by itself, and
+    then the ranges' totals, of which there are as many as partitions.
+    """
+    (part,) = fresh(df, "mr_part")
+    dealt = cut(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    totals = dealt.groupBy(part).agg(*(F.sum(c).alias(name) for name, c in sums.items()))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col(part).alias("p"), *(F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"before_{name}") for name in sums))
+    along = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = dealt.withColumns({name: F.sum(c).over(along) for name, c in sums.items()}).join(F.broadcast(totals), F.col(part) == F.col("p"))
+    return summed.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(name) + F.col(f"before_{name}")).alias(name) for name in sums))
+
+
+def numbered(df: DataFrame, k1: str, k2: str) -> tuple[DataFrame, str]:
+    """``df`` with each row's number from 1 among those with the same ``k1`` and ``k2``, and that column's name.
+
+    Rows that stand alone are not shuffled.  The others are numbered in each
+    partition that they come from, and the partitions' counts give each its
+    first number, so one key's rows never meet in one task.
+    """
+    number, part, first, p1, p2, p3 = fresh(df, "mr_number", "mr_part", "mr_first", "mr_p1", "mr_p2", "mr_p3")
+    repeated = lookup(df.groupBy(k1, k2).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(k1, k2))
+    if repeated.isEmpty():
+        return df.withColumn(number, F.lit(1).cast("long")), number
+    alone = df.join(repeated, [k1, k2], "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    some = df.join(repeated, [k1, k2], "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    some = cut(some.withColumn(part, F.spark_partition_id()))
+    counts = some.groupBy(k1, k2, part).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(k1, k2).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(k1).alias(p1), F.col(k2).alias(p2), F.col(part).alias(p3), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    own = F.row_number().over(Window.partitionBy(k1, k2, part).orderBy(k1))
+    placed = some.withColumn(number, own).join(counts, (F.col(k1) == F.col(p1)) & (F.col(k2) == F.col(p2)) & (F.col(part) == F.col(p3)))
+    placed = placed.withColumn(number, (F.col(number) + F.col(first)).cast("long")).drop(part, first, p1, p2, p3)
+    return alone.withColumn(number, F.lit(1).cast("long")).unionByName(placed), number
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(a, b) links of any orderable type to (node, root): every linked node and the least node it reaches."""
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
