@@ -10,17 +10,19 @@ n(t) that hold entity and term, and n(t, e) that hold both,
                      = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
 says how much of the entity's information the term gives away: 1 if the term
-never occurs without it, 0 if the two are independent.  Terms that are with an
-entity in at least ``MIN_SUPPORT`` documents and disclose ``THRESHOLD`` or more
-of it become spans of kind ``term`` wherever they occur in a document that
-holds the entity, and are generalised with it.
+never occurs without it, 0 if the two are independent.  A term that is with an
+entity in at least ``MIN_SUPPORT`` documents and discloses ``THRESHOLD`` or more
+of it gives the entity away wherever it stands: each of its occurrences, in any
+document, becomes a span of kind ``term`` and is generalised.
 
-Documents are counted by content: copies of one text are one witness, not
-thousands.  Edited copies are documents of their own.
+Documents are counted by content, and near copies (``near.classes``) as one:
+N, n(e), n(t) and n(t, e) all count such classes, so neither thousands of copies
+nor edited ones are witnesses.
 
 Defined results: a null text is the empty text, without spans; equal texts get
-equal spans; an empty table gives an empty result; a term that overlaps a base
-match is not a term; other columns are passed through or ignored.
+equal spans; an empty table gives an empty result; a word that overlaps what a
+base pattern matches (its valid matches and the others) is not a term; no value
+of an entity is written to a checkpoint, only hashes and places; other columns are passed through or ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import near
 from millrace.llm.common import content_id, cut, fresh, lookup, table, text_of, where_after, words_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -45,6 +48,9 @@ _PATTERNS = (
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
+_PLACE = "array<struct<s:int,k:int,e:int>>"
+#: Numbers that are summed one after the other; sums of such blocks are summed in the same way.
+_BLOCK = 256
 
 
 def _gates(text: Column) -> tuple[Column, ...]:
@@ -72,18 +78,29 @@ def _valid(k: int, v: Column) -> Column:
     )[k]
 
 
+def _sums(numbers: Column) -> Column:
+    """Running sums; the array that aggregate() builds is copied at each step, so this is for short arrays."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out"))
+    return F.aggregate(numbers, zero, step, lambda a: a["out"])
+
+
+def _running(numbers: Column) -> Column:
+    """Running sums of array<int>, in blocks."""
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")), lambda b: b * _BLOCK + 1)
+    own = F.transform(starts, lambda a: _sums(F.slice(numbers, a, F.lit(_BLOCK))))
+    before = F.concat(F.array(F.lit(0)), _sums(F.transform(own, lambda x: F.element_at(x, -1))))
+    long = F.flatten(F.transform(own, lambda x, b: F.transform(x, lambda n: n + F.get(before, b))))
+    return F.when(F.size(numbers) > _BLOCK, long).otherwise(_sums(numbers))
+
+
 def _matches(text: Column, k: int) -> Column:
     """Spans of kind k: the text between matches and the matches themselves give their places."""
     between, hits = F.split(text, _PATTERNS[k]), F.regexp_extract_all(text, F.lit(_PATTERNS[k]), F.lit(0))
     parts = F.filter(F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("gap"), h.alias("v"))), lambda x: x["v"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.length(x["v"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("s"), F.lit(k).alias("k"), end.alias("e"), x["v"].alias("v"))).cast(_SPAN)).alias("out"))
-
-    return F.filter(F.aggregate(parts, zero, step, lambda a: a["out"]), lambda x: _valid(k, x["v"]))
+    ends = _running(F.transform(parts, lambda x: x["gap"] + F.length(x["v"])))
+    spans = F.zip_with(hits, ends, lambda v, e: F.struct((e - F.length(v)).alias("s"), F.lit(k).alias("k"), e.alias("e"), v.alias("v")))
+    return F.filter(spans, lambda x: _valid(k, x["v"]))
 
 
 def base_spans(text: Column) -> Column:
@@ -92,6 +109,11 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*kinds))
 
 
+def places(spans: Column) -> Column:
+    """The spans without their values."""
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))).cast(_PLACE)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -121,8 +143,19 @@ def _words(docs: DataFrame) -> DataFrame:
     return rows.select(c1.alias("c1"), c2.alias("c2"), ents.alias("ents"), F.col("t").alias("m"))
 
 
+def _terms(rows: DataFrame) -> DataFrame:
+    """(c1, c2, term): the distinct terms of each row's text ``m``, as hashes."""
+    hashes = F.array_distinct(F.transform(F.filter(F.transform(words_of(F.col("m")), _term), lambda x: F.length(x) >= 3), lambda x: F.xxhash64(x)))
+    return rows.select("c1", "c2", hashes.alias("terms")).select("c1", "c2", F.explode("terms").alias("term"))
+
+
+def _classes_with(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """(key, k1, k2), once each: the classes of documents that hold the key."""
+    return near.with_classes(rows.select(key, "c1", "c2"), found).select(key, "k1", "k2").distinct()
+
+
 def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ent, term, disclosure) of the terms at or above the threshold, and (c1, c2, ent) of the texts with an entity that may have some.
+    """(ent, term, disclosure) of the terms at or above the threshold, and (c1, c2, term) of the texts that hold a term that may be one.
 
     A pair has n(t, e) <= min(n(t), n(e)), so only entities and terms in
     ``MIN_SUPPORT`` documents, and terms with log(N / n(t)) >= THRESHOLD log(N / n(e)),
@@ -130,33 +163,36 @@ def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     every = _words(docs)
     contents = cut(every.select("c1", "c2", "ents").groupBy("c1", "c2").agg(F.first("ents").alias("ents")))
-    n = float(contents.count())
+    found = near.classes(near.texts_of(docs))
+    in_classes, n_classes = found.agg(F.count(F.lit(1)), F.count_distinct("k1", "k2")).first()
+    n = float(contents.count() - in_classes + n_classes)
     held = contents.select("c1", "c2", F.explode("ents").alias("ent"))
-    n_e = lookup(held.groupBy("ent").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= MIN_SUPPORT) & (F.col("n_e") < n)))
+    by_class = _classes_with(held, "ent", found)
+    n_e = lookup(by_class.groupBy("ent").agg(F.count(F.lit(1)).alias("n_e")).where((F.col("n_e") >= MIN_SUPPORT) & (F.col("n_e") < n)))
     held = cut(held.join(n_e, "ent"))
     some = _masked(every.where(F.size("ents") > 0), "m")
     plain = every.where(F.size("ents") == 0)
-    hashes = F.array_distinct(F.transform(F.filter(F.transform(words_of(F.col("m")), _term), lambda x: F.length(x) >= 3), lambda x: F.xxhash64(x)))
-    terms = lambda rows: rows.select("c1", "c2", hashes.alias("terms")).select("c1", "c2", F.explode("terms").alias("term"))
-    near = cut(terms(some.join(held.select("c1", "c2").distinct(), ["c1", "c2"])).distinct())
-    many = lookup(near.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("term"))
-    n_t = terms(some.unionByName(plain)).join(many, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    close = cut(_terms(some.join(lookup(held.select("c1", "c2").distinct()), ["c1", "c2"])).distinct())
+    many = lookup(_classes_with(close, "term", found).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("term"))
+    holding = cut(_terms(some.unionByName(plain)).join(many, "term").select("c1", "c2", "term").distinct())
+    n_t = _classes_with(holding, "term", found).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     most = held.agg(F.max("n_e")).first()[0] or 0
     content = F.log2(F.lit(n) / F.col("n_e"))
     # a hair below the threshold, so that rounding leaves out no term that the value itself would keep
     n_t = lookup(n_t.where(F.log2(F.lit(n) / F.col("n_t")) >= (THRESHOLD - 1e-9) * F.log2(F.lit(n) / F.lit(float(max(most, 1))))))
-    pairs = near.join(n_t, "term").join(held, ["c1", "c2"])
+    pairs = close.join(n_t, "term").join(held, ["c1", "c2"])
     pairs = pairs.where(F.log2(F.lit(n) / F.col("n_t")) >= (THRESHOLD - 1e-9) * content)
-    known = pairs.groupBy("ent", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_te") >= MIN_SUPPORT)
+    witnesses = near.with_classes(pairs, found).select("ent", "term", "n_e", "n_t", "k1", "k2").distinct()
+    known = witnesses.groupBy("ent", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_te") >= MIN_SUPPORT)
     value = F.log2(F.lit(n) * F.col("n_te") / F.col("n_t") / F.col("n_e")) / content
-    return known.select("ent", "term", value.alias("disclosure")).where(F.col("disclosure") >= THRESHOLD), held.select("c1", "c2", "ent")
+    return known.select("ent", "term", value.alias("disclosure")).where(F.col("disclosure") >= THRESHOLD), holding
 
 
 def term_spans(docs: DataFrame) -> DataFrame:
-    """(c1, c2, terms): the term spans of each distinct text that has some."""
-    found, held = disclosing(docs)
-    by_text = held.join(lookup(found.select("ent", "term")), "ent").groupBy("c1", "c2").agg(F.collect_set("term").alias("wanted"))
-    rows = _words(docs).where(F.size("ents") > 0).join(lookup(by_text), ["c1", "c2"]).select("c1", "c2", "wanted", "m")
+    """(c1, c2, terms): the places of the terms in each distinct text that has some."""
+    found, holding = disclosing(docs)
+    by_text = holding.join(lookup(found.select("term").distinct()), "term").groupBy("c1", "c2").agg(F.collect_set("term").alias("wanted"))
+    rows = _words(docs).join(lookup(by_text), ["c1", "c2"]).select("c1", "c2", "wanted", "m")
     word = r"[^\x20\x09-\x0D]++"
     rows = _masked(rows, "m").select("c1", "c2", "wanted", F.split("m", word).alias("gaps"), F.regexp_extract_all("m", F.lit(word), F.lit(0)).alias("words"))
     parts = F.filter(F.arrays_zip("gaps", "words"), lambda x: x["words"].isNotNull())
@@ -165,8 +201,8 @@ def term_spans(docs: DataFrame) -> DataFrame:
     before = Window.partitionBy("c1", "c2").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("e", F.sum(F.col("gap") + F.length("v")).over(before).cast("int"))
     rows = where_after(rows.withColumn("term", F.xxhash64(_term(F.col("v")))), F.array_contains("wanted", F.col("term")))
-    span = F.struct((F.col("e") - F.length("v")).alias("s"), F.lit(KINDS.index("term")).alias("k"), F.col("e"), F.lit(None).cast("string").alias("v"))
-    return cut(rows.groupBy("c1", "c2").agg(F.collect_list(span).alias("terms")))
+    span = F.struct((F.col("e") - F.length("v")).alias("s"), F.lit(KINDS.index("term")).alias("k"), F.col("e"))
+    return lookup(rows.groupBy("c1", "c2").agg(F.collect_list(span).alias("terms")))
 
 
 def _count(k: int) -> Column:
@@ -177,10 +213,8 @@ def find(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     terms = term_spans(docs.select("text"))
     c1, c2 = content_id(F.col("t"))
-    rows = cut(docs.select("doc_id", text_of().alias("t")).select("doc_id", c1.alias("c1"), c2.alias("c2"), base_spans(F.col("t")).alias("base")))
-    with_some = rows.where(F.size("base") > 0).join(terms, ["c1", "c2"], "left")
-    without = rows.where(F.size("base") == 0).withColumn("terms", F.lit(None).cast(_SPAN))
-    out = with_some.select("doc_id", "base", "terms").unionByName(without.select("doc_id", "base", "terms"))
+    rows = docs.select("doc_id", text_of().alias("t")).select("doc_id", c1.alias("c1"), c2.alias("c2"), places(base_spans(F.col("t"))).alias("base"))
+    out = cut(rows).join(terms, ["c1", "c2"], "left")
     counts = [_count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:-1])]
     every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "terms")))
     return out.select(
@@ -206,14 +240,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
     k1, k2, terms, base = fresh(docs, "mr_c1", "mr_c2", "mr_terms", "mr_base")
     found = term_spans(docs.select("text")).toDF(k1, k2, terms)
     c1, c2 = content_id(text_of())
-    rows = docs.withColumn(base, base_spans(text_of()))
-    plain = rows.where(F.size(base) == 0).drop(base)
-    some = rows.where(F.size(base) > 0).withColumns({k1: c1, k2: c2}).join(found, [k1, k2], "left")
+    rows = docs.withColumns({k1: c1, k2: c2, base: places(base_spans(text_of()))}).join(found, [k1, k2], "left")
     spans = F.when(F.col(terms).isNull(), F.col(base)).otherwise(F.sort_array(F.concat(base, terms)))
-    some = some.withColumn(base, spans).withColumn("text", _replaced(F.col("text"), F.col(base)))
+    rows = rows.withColumn(base, spans)
+    text = F.when(F.size(base) > 0, _replaced(F.col("text"), F.col(base))).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        some = some.withColumn("n_chars", F.length("text").cast("long"))
-    return plain.unionByName(some.select(*(F.col(f"`{c}`") for c in docs.columns)))
+        rows = rows.withColumn("n_chars", F.when(F.size(base) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

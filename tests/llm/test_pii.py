@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -97,6 +99,52 @@ def test_terms_anywhere_in_the_document(docs):
     assert all(clean[i] == f"[TERM] {fill(i, 90)} [EMAIL] {fill(1000 + i, 90)} [TERM]" for i in range(5))
 
 
+def test_terms_where_the_entity_is_not(docs):
+    rows = [(i, f"{fill(i)} project Bluebird contact bob@corp.com") for i in range(40)] + [(50, f"{fill(50)} about bluebird")]
+    rows += [(100 + i, f"{fill(100 + i)} project contact") for i in range(300)]
+    out = {r.doc_id: r for r in pii.find(docs(rows)).collect()}
+    at = rows[40][1].index("bluebird")
+    assert out[50].spans == f"term:{at}:{at + 8}" and all(out[i].n_term == 1 for i in range(40))
+
+
+def test_edited_copies_are_one_witness(docs):
+    rows = [(i, f"{fill(1, 100)} bluebird bob@corp.com {fill(2, 100)} edit{i}") for i in range(30)] + [(100 + i, fill(100 + i)) for i in range(50)]
+    assert all(r.n_term == 0 for r in pii.find(docs(rows)).collect())
+
+
+def test_disclosure_by_brute_force(docs):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        words = [f"t{rng.randrange(90)}word" for _ in range(rng.randrange(3, 12))] + [f"e{rng.randrange(60)}@x.org" for _ in range(rng.randrange(2))] + [f"own{i}"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((1000 + i, rows[-1][1]))
+    terms, ents = {}, {}
+    for text in {t for _, t in rows}:
+        for w in text.split():
+            (ents if "@" in w else terms).setdefault(w, set()).add(text)
+    n, want = len({t for _, t in rows}), {}
+    for e, with_e in ents.items():
+        for t, with_t in terms.items():
+            both = len(with_e & with_t)
+            if both >= pii.MIN_SUPPORT and len(with_e) < n:
+                value = math.log(n * both / len(with_t) / len(with_e)) / math.log(n / len(with_e))
+                if value >= pii.THRESHOLD:
+                    want[e, t] = value
+    assert len(want) > 3
+    found = {(r.ent, r.term): r.disclosure for r in pii.disclosing(docs(rows))[0].collect()}
+    assert sorted(found.values()) == pytest.approx(sorted(want.values()))
+    hidden = {t for _, t in want}
+    out = {r.doc_id: r.n_term for r in pii.find(docs(rows)).collect()}
+    assert out == {i: sum(w in hidden for w in t.split()) for i, t in rows}
+
+
+def test_many_matches(docs):
+    check(docs, [" ".join(f"a{i}@b.co" for i in range(3000)), ". ".join("1.2.3.4" for _ in range(257))])
+
+
 def test_repeated_and_null_rows(docs):
     rows = [(None, "a@b.co"), (None, "a@b.co"), (1, None), (1, None)]
     out = sorted((r.doc_id is None, r.n_email, r.spans) for r in pii.find(docs(rows)).collect())
