@@ -11,6 +11,13 @@ distinct).  The links are deduplicated and verified, and components come from
 alternating large-star and small-star rounds, each of which is a partial
 minimum and an equi-join that Spark can split where it is skewed.
 
+``near_duplicates`` is that, with three-word shingles.  ``deduplicate`` keeps one
+document of each group of near copies at a similarity of ``near.SIMILARITY`` on
+five-word shingles.  Such copies differ in about 3 to 14 of 64 bits, and balls of
+half that radius have millions of members, so the fingerprints' links are not
+enough: those of ``near.pairs``, where vectors of minima meet in the same way,
+are added, and components are taken over both.
+
 Defined results: null, empty and blank texts have fingerprint zero and link
 like any other; a text with fewer words than a shingle is one shingle; null
 doc_ids belong to components but never name one unless all in it are null;
@@ -25,11 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from millrace.llm.common import components, content_id, cut, fresh, table
+from millrace.llm import near
+from millrace.llm.common import components, content_id, cut, fresh, table, text_of
 
 SHINGLE = 3
 RADIUS = 2
@@ -58,10 +66,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(majority.view("<u8")[0])
 
 
-@F.pandas_udf(LongType())
-def _fingerprints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in parts:
-        yield pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+def _fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
+    @F.pandas_udf(LongType())
+    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return hashed(text.cast("string"))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -80,7 +91,7 @@ def _classes(known: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint (hex), component_id (the least doc_id reachable)."""
-    known = cut(docs.select("doc_id", _fingerprints(F.col("text").cast("string")).alias("fp")))
+    known = cut(docs.select("doc_id", _fingerprints(F.col("text")).alias("fp")))
     roots = _classes(known)
     by_print = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = by_print.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -89,20 +100,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return known.join(to, F.col("fp") == F.col("k")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id (then of least content), all its columns."""
-    c1, c2 = content_id(*(F.col(f"`{c}`") for c in docs.columns))
-    known = cut(docs.select("doc_id", c1.alias("c1"), c2.alias("c2"), _fingerprints(F.col("text").cast("string")).alias("fp")))
+def deduplicate(docs: DataFrame, shingle: int = near.SHINGLE, similarity: float = near.SIMILARITY) -> DataFrame:
+    """One document of each group of near copies, the one with the least doc_id (then of least content), all its columns."""
+    maps = {c for c, kind in docs.dtypes if "map<" in kind}  # the one type that has no hash
+    c1, c2 = content_id(*(F.to_json(F.col(f"`{c}`")) if c in maps else F.col(f"`{c}`") for c in docs.columns))
+    t1, t2 = content_id(text_of())
+    known = cut(docs.select("doc_id", c1.alias("c1"), c2.alias("c2"), F.struct(t1.alias("c1"), t2.alias("c2")).alias("t"), _fingerprints(F.col("text"), shingle).alias("fp")))
     roots = _classes(known)
+    by_print = known.select("t", "fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("t", F.coalesce("root", "fp").alias("root"))
+    least = by_print.groupBy("root").agg(F.min("t").alias("b"))
+    alike = by_print.join(least, "root").select(F.col("t").alias("a"), "b")
+    linked = components(alike.unionByName(near.pairs(near.texts_of(docs), similarity)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("c1"), F.col("c2"))
-    best = known.groupBy("fp").agg(F.min(order).alias("best"))
-    named = best.join(roots, F.col("fp") == F.col("node"), "left").select("best", F.coalesce("root", "fp").alias("root"))
-    k1, k2, n = fresh(docs, "mr_c1", "mr_c2", "mr_n")
+    best = known.groupBy("t").agg(F.min(order).alias("best"))
+    named = best.join(linked, F.col("t") == F.col("node"), "left").select("best", F.coalesce("root", "t").alias("root"))
+    k1, k2 = fresh(docs, "mr_c1", "mr_c2")
     kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.c1").alias(k1), F.col("best.c2").alias(k2))
     found = docs.join(kept, (c1 == F.col(k1)) & (c2 == F.col(k2)))
-    # rows equal in every column share their content: one of them stays
-    one = found.withColumn(n, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1)))
-    return one.where(F.col(n) == 1).drop(k1, k2, n)
+    return found.dropDuplicates([k1, k2]).drop(k1, k2)  # rows equal in every column share their content
 
 
 def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:

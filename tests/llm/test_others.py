@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from html import unescape
 from itertools import combinations
 
 import numpy as np
@@ -72,19 +74,20 @@ def slow_verdict(url, listed):
         return host, path, rule, verdict
     site = host.rsplit(":", 1)[0] if host.rsplit(":", 1)[-1].isdigit() and ":" in host else host
     site = site.removeprefix("www.")
-    labels = site.split(".")
-    keys = {site + (path.rstrip("/") or "/")} | {".".join(labels[k:]) + "/" for k in range(4) if k == 0 or len(labels) > k + 1}
-    return host, path, None, "block" if host and keys & listed else "allow"
+    page = site + (path.rstrip("/") or "/")
+    sites = [x[:-1] for x in listed if x.index("/") == len(x) - 1]
+    hit = page in listed or any(site == x or site.endswith("." + x) for x in sites)
+    return host, path, None, "block" if host and hit else "allow"
 
 
 URLS = [None, "", "no host", "http://", "http://A.example.ORG/es/x?q", "https://example.org/en/12", "http://example.org/en/2", "http://x.com/fr/", "http://x.com/de/#a", "ftp://m.bad.net/a?b", "http://bad.net:80/a/b/",
-        "http://www.bad.net", "http://good.net/page/", "http://good.net/page?x=1", "http://good.net/pages", "http://a.b.c.deep.net/x", "http://q.a.b.c.deep.net/x", "x://y://z.net/", "http://z.net?http://bad.net", "http://" + "a." * 20_000 + "bad.net/"]
-LISTED = {"bad.net/", "good.net/page", "deep.net/"}
+        "http://www.bad.net", "http://good.net/page/", "http://good.net/page?x=1", "http://good.net/pages", "http://a.b.c.deep.net/x", "http://q.a.b.c.deep.net/x", "x://y://z.net/", "http://a.b.c.d.e.f.g.h.i.bad.net/x", "http://one.top/x", "http://bad.net.top/", "http://xbad.net/", "http://z.net?http://bad.net", "http://" + "a." * 20_000 + "bad.net/"]
+LISTED = {"bad.net/", "good.net/page", "deep.net/", "top/"}
 
 
 def test_urls(spark):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(0, URLS[4], "x")], "page_id long, url string, hits string")
-    listed = spark.createDataFrame([("http://BAD.net",), ("http://good.net/page/",), ("https://www.deep.net/",), (None,)], "url string")
+    listed = spark.createDataFrame([("http://BAD.net",), ("http://good.net/page/",), ("https://www.deep.net/",), ("x://top",), (None,)], "url string")
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, listed).collect())
     assert got == Counter([(i, *slow_verdict(u, LISTED)) for i, u in enumerate(URLS)] + [(0, *slow_verdict(URLS[4], LISTED))])
     assert urls.judge(pages.limit(0), listed).collect() == []
@@ -115,12 +118,24 @@ def test_boundaries_are_optimal(bins, buckets):
     lengths = np.cumsum([b[0] for b in bins]).tolist()
     counts = [b[1] for b in bins]
     totals = [n * c for n, c in zip(lengths, counts)]
-    ends = packing.boundaries(lengths, counts, totals, buckets)
+    ends = packing.boundaries(lengths, counts, buckets)
     m = len(bins)
     best = min(waste(lengths, counts, totals, [*c, m - 1]) for k in range(min(buckets, m)) for c in combinations(range(m - 1), k))
     assert ends[-1] == m - 1 and len(ends) <= buckets and waste(lengths, counts, totals, ends) == best
 
 
+def test_boundaries_of_many_lengths():
+    rng = np.random.default_rng(3)
+    lengths = np.sort(rng.choice(60_000, 2500, replace=False) + 1)
+    counts = rng.integers(1, 2000, 2500)
+    n, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    best = np.concatenate([[0.0], np.full(2500, np.inf)])
+    for _ in range(16):  # every start of every bucket
+        best = np.array([np.inf, *((best[:j] + lengths[j - 1] * (n[j] - n[:j]) - (total[j] - total[:j])).min() for j in range(1, 2501))])
+    ends = packing.boundaries(lengths.tolist(), counts.tolist(), 16)
+    assert waste(lengths.tolist(), counts.tolist(), (counts * lengths).tolist(), ends) == best[-1]
+
+
 def test_packing(docs):
     rng = random.Random(1)
     rows = [(i, " ".join("w" * 1 for _ in range(rng.choice((3, 40, 41, 900, 5000))))) for i in range(400)] + [(None, None), (1000, ""), (7, "same text"), (7, "same text"), (2000, "w " * 50_000)]
@@ -173,6 +188,27 @@ def test_long_texts_are_scored_in_parts(spark, docs, monkeypatch):
     assert langid.label(m, text) == whole
 
 
+def test_unseen_scripts_are_evidence_for_none(spark, docs):
+    m = langid.train(docs([(i, ENGLISH, "en") for i in range(9)] + [(20 + i, FRENCH, "fr") for i in range(9)]).select("doc_id", "text", "lang"))
+    assert langid.label(m, GREEK) == ("en", 0.0, [(0, len(GREEK), "und")])
+    lang, score, spans = langid.label(m, f"{ENGLISH} {GREEK} {FRENCH}")
+    assert [x[2] for x in spans] == ["en", "und", "fr"] and 0 < score < 0.7
+
+
+def test_a_word_may_go_on_over_parts(spark, docs, monkeypatch):
+    m = model(spark, docs)
+    text = "the " + "houseandthething" * 20 + " with, " + "το" * 50
+    whole = m.words(text)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    parts = m.words(text)
+    assert len(whole[0]) == 4 and all(np.allclose(a, b) for a, b in zip(whole, parts))
+
+
+def test_every_language_is_learned(spark, docs):
+    rows = [(i, f"word{chr(97 + i // 26)}{chr(97 + i % 26)} " * 20, f"l{i:03}") for i in range(100)]
+    assert len(langid.train(docs(rows).select("doc_id", "text", "lang")).langs) == 100
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.floats(-20, 20).map(lambda x: round(x, 2)), min_size=3, max_size=3), min_size=1, max_size=7))
 def test_viterbi(rows):
@@ -209,13 +245,56 @@ PAGES = {
 
 @pytest.mark.parametrize("html", list(PAGES))
 def test_html(html):
-    assert line_blocks.main_text(html) == PAGES[html]
+    assert line_blocks.main_text(html)[0] == PAGES[html]
 
 
 def test_surges():
     long = "text " * 30
     page = "<div>menu</div><hr><div>" + f"<p>{long}</p>" * 3 + "</div><hr><div>foot</div>"
-    assert line_blocks.main_text(page) == "\n\n".join([long.strip()] * 3)
+    assert line_blocks.main_text(page)[0] == "\n\n".join([long.strip()] * 3)
+
+
+def test_an_advert_in_the_middle_takes_nothing_along():
+    long = "text " * 40
+    page = f"<div><h1>Title</h1><div class='share'>s</div><p>{long}</p><div class='ad'>buy</div><p>Closing.</p></div><hr><div>Imprint</div>"
+    assert line_blocks.main_text(page)[0] == "\n\n".join(["Title", long.strip(), "Closing."])
+
+
+def test_comments_before_an_unclosed_advert():
+    page = "<p>comment on this</p>" + "<i></i>" * 900 + "<div class='ad'>buy<article><p>kept</p></article>"
+    assert line_blocks.main_text(page)[0] == "kept"
+
+
+def _page(rng):
+    """A page, and its article as it was written."""
+    words = lambda a, b: " ".join(rng.choice(("alpha", "beta", "gamma", "delta &amp; co", "<b>bold</b>", "<a href='#'>link</a>")) for _ in range(rng.randrange(a, b)))
+    plain = lambda t: unescape(re.sub("<[^>]+>", "", t))
+    named = rng.random() < 0.6
+    noise = ["<nav><ul><li>Home</li></ul></nav>", "<div class='ad-slot'>{}</div>", "<aside>{}</aside>", "<form>{}<input></form>", "<div id='cookie-notice'>{}</div>", "<div class='social share'>{}</div>", "<script>{}</script>"]
+    junk = lambda: rng.choice(noise).format(words(1, 60))
+    inner, kept = [], []
+    for k in range(rng.randrange(1, 9)):
+        tag = "h1" if k == 0 and rng.random() < 0.5 else "p"
+        text = words(30, 60) if k == 1 or not named and tag == "p" and rng.random() < 0.5 else words(1, 20)
+        inner.append(f"<{tag}>{text}</{tag}>")
+        kept.append(plain(text))
+        if rng.random() < 0.3:
+            inner.append(junk())
+    if not named and max(map(len, kept)) <= line_blocks.SURGE:
+        inner.append(f"<p>{'long ' * 30}</p>")
+        kept.append(("long " * 30).strip())
+    around = "article" if named else "div"
+    outer = [junk() for _ in range(rng.randrange(3))]
+    page = "<html><head><title>t</title></head><body>" + "".join(outer) + f"<header>{words(1, 30)}</header><{around}>{''.join(inner)}</{around}>"
+    page += f"<section class='comments'><article>{words(1, 80)}</article></section>" * rng.randrange(2) + f"<footer>{words(1, 40)}</footer></body></html>"
+    return page, "\n\n".join(kept)
+
+
+def test_pages_as_they_were_written():
+    rng = random.Random(12)
+    for _ in range(400):
+        page, kept = _page(rng)
+        assert line_blocks.main_text(page)[0] == kept, page
 
 
 def test_html_table(spark):
