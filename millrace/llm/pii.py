@@ -27,6 +27,8 @@ of an entity is written to a checkpoint, only hashes and places; other columns a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,22 +87,32 @@ def _sums(numbers: Column) -> Column:
     return F.aggregate(numbers, zero, step, lambda a: a["out"])
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _running(numbers: Column) -> Column:
     """Running sums of array<int>, in blocks."""
+
+    def summed(own: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), _sums(F.transform(own, lambda x: F.element_at(x, -1))))
+        return _let(before, lambda y: F.flatten(F.transform(own, lambda x, b: F.transform(x, lambda n: n + F.get(y, b)))))
+
     starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")), lambda b: b * _BLOCK + 1)
-    own = F.transform(starts, lambda a: _sums(F.slice(numbers, a, F.lit(_BLOCK))))
-    before = F.concat(F.array(F.lit(0)), _sums(F.transform(own, lambda x: F.element_at(x, -1))))
-    long = F.flatten(F.transform(own, lambda x, b: F.transform(x, lambda n: n + F.get(before, b))))
-    return F.when(F.size(numbers) > _BLOCK, long).otherwise(_sums(numbers))
+    return F.when(F.size(numbers) > 0, _let(F.transform(starts, lambda a: _sums(F.slice(numbers, a, F.lit(_BLOCK)))), summed)).otherwise(F.array().cast("array<int>"))
 
 
 def _matches(text: Column, k: int) -> Column:
     """Spans of kind k: the text between matches and the matches themselves give their places."""
     between, hits = F.split(text, _PATTERNS[k]), F.regexp_extract_all(text, F.lit(_PATTERNS[k]), F.lit(0))
-    parts = F.filter(F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("gap"), h.alias("v"))), lambda x: x["v"].isNotNull())
-    ends = _running(F.transform(parts, lambda x: x["gap"] + F.length(x["v"])))
-    spans = F.zip_with(hits, ends, lambda v, e: F.struct((e - F.length(v)).alias("s"), F.lit(k).alias("k"), e.alias("e"), v.alias("v")))
-    return F.filter(spans, lambda x: _valid(k, x["v"]))
+    gaps = F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("gap"), h.alias("v")))
+
+    def spans(parts: Column) -> Column:
+        ends = _let(F.transform(parts, lambda x: x["gap"] + F.length(x["v"])), _running)
+        return F.zip_with(parts, ends, lambda x, e: F.struct((e - F.length(x["v"])).alias("s"), F.lit(k).alias("k"), e.alias("e"), x["v"].alias("v")))
+
+    return F.filter(_let(F.filter(gaps, lambda x: x["v"].isNotNull()), spans), lambda x: _valid(k, x["v"]))
 
 
 def base_spans(text: Column) -> Column:

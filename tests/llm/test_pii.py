@@ -116,7 +116,12 @@ def test_disclosure_by_brute_force(docs):
     rng = random.Random(6)
     rows = []
     for i in range(300):
-        words = [f"t{rng.randrange(90)}word" for _ in range(rng.randrange(3, 12))] + [f"e{rng.randrange(60)}@x.org" for _ in range(rng.randrange(2))] + [f"own{i}"]
+        words = [f"t{rng.randrange(90)}word" for _ in range(rng.randrange(3, 12))] + [f"own{i}"]
+        if i % 3 == 0:
+            e = rng.randrange(9)
+            words += [f"e{e}@x.org"] + [f"near{e}" for _ in range(rng.random() < 0.7)]
+        if i % 50 == 1:
+            words.append(f"near{rng.randrange(9)}")
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
         if i % 10 == 0:
