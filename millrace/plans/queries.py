@@ -24,6 +24,7 @@ from millrace.plans.trends import Trends
 from millrace.sources.readers import parquet
 from millrace.streaming.processors import count_windows, reduce_state_stream
 from millrace.streaming.runner import ending, run_to_end
+from millrace.streaming.windowed import Periodic, reduce_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,12 +236,16 @@ def chained_windows(spark, d):
 
 
 def _customers(spark, d) -> tuple[Dataset, Dataset]:
-    some = filter_by(parquet(spark, f"{d}/orders.parquet"), "o_orderkey % 5 = 0")
-    return parquet(spark, f"{d}/customer.parquet"), some
+    return parquet(spark, f"{d}/customer.parquet"), parquet(spark, f"{d}/orders.parquet")
+
+
+def _users(spark, d) -> tuple[Dataset, Dataset]:
+    """Suppliers and events, each with keys that the other lacks."""
+    return parquet(spark, f"{d}/supplier.parquet"), events(spark, d)
 
 
 _PAIRS = "SELECT coalesce(c_custkey, o_custkey) AS key, c_name, coalesce(o_orderkey, -1) AS o_orderkey FROM {l} {how} JOIN {r} ON c_custkey = o_custkey"
-_SOME = "(SELECT * FROM orders WHERE o_orderkey % 5 = 0)"
+_USERS = "SELECT coalesce(s_suppkey, user_id) AS key, s_name, coalesce(event_id, -1) AS event_id FROM supplier {how} JOIN events ON s_suppkey = user_id"
 
 
 def known(c: str) -> Column:
@@ -252,26 +257,28 @@ def _out() -> dict[str, Column]:
     return {"c_name": F.col("l.c_name"), "o_orderkey": known("r.o_orderkey")}
 
 
-@query(_PAIRS.format(l="customer", how="", r=_SOME))
+def _user_out() -> dict[str, Column]:
+    return {"s_name": F.col("l.s_name"), "event_id": known("r.event_id")}
+
+
+@query(_PAIRS.format(l="customer", how="", r="orders"))
 def join_inner(spark, d):
     return join(*_customers(spark, d), ("c_custkey", "o_custkey"), _out()).df
 
 
-@query(_PAIRS.format(l="customer", how="LEFT", r=_SOME))
+@query(_PAIRS.format(l="customer", how="LEFT", r="orders"))
 def join_left(spark, d):
     return left_join(*_customers(spark, d), ("c_custkey", "o_custkey"), _out()).df
 
 
-@query(_PAIRS.format(l="(SELECT * FROM customer WHERE c_custkey % 2 = 0)", how="RIGHT", r=_SOME))
+@query(_USERS.format(how="RIGHT"))
 def join_right(spark, d):
-    c, o = _customers(spark, d)
-    return right_join(filter_by(c, "c_custkey % 2 = 0"), o, ("c_custkey", "o_custkey"), _out()).df
+    return right_join(*_users(spark, d), ("s_suppkey", "user_id"), _user_out()).df
 
 
-@query(_PAIRS.format(l="(SELECT * FROM customer WHERE c_custkey % 2 = 0)", how="FULL", r=_SOME))
+@query(_USERS.format(how="FULL"))
 def join_full(spark, d):
-    c, o = _customers(spark, d)
-    return full_join(filter_by(c, "c_custkey % 2 = 0"), o, ("c_custkey", "o_custkey"), _out()).df
+    return full_join(*_users(spark, d), ("s_suppkey", "user_id"), _user_out()).df
 
 
 @query("SELECT s_nationkey AS key, s_suppkey, n_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey")
@@ -318,6 +325,12 @@ class _Range(State):
         self.low = v if self.low is None else min(self.low, v)
         self.high = v if self.high is None else max(self.high, v)
 
+    def merge(self, other):
+        if other.n:
+            self.n += other.n
+            self.low = other.low if self.low is None else min(self.low, other.low)
+            self.high = other.high if self.high is None else max(self.high, other.high)
+
     def flush(self):
         yield self.n, self.low, self.high
 
@@ -399,6 +412,36 @@ def stream_state(spark, d):
     return run_to_end(reduce_state_stream(e, "user_id", DAY, 0, lambda n, row: n + 1, lambda n: [(n,)], "n long"))
 
 
+_RANGE = "count(*)::BIGINT AS n, min(round(value * 100)::BIGINT) AS low, max(round(value * 100)::BIGINT) AS high"
+
+
+def _ranges(spark, d, windowing, trigger=None) -> DataFrame:
+    e = ending(spark, f"{d}/events.parquet", "ts", columns=_STREAMED, last={"user_id": -1, "value": 0.0})
+    e = e.having(e.df.select("user_id", "ts", cents().alias("cents")))
+    return run_to_end(reduce_windows(e, "user_id", _Range, "n long, low long, high long", windowing, trigger)).where("user_id <> -1")
+
+
+@query(f"SELECT user_id, (epoch_us(min(ts)) // 1000) AS start_ms, (epoch_us(max(ts)) // 1000) + 21600000 AS end_ms, true AS final, {_RANGE} FROM ({_SESSIONS}) GROUP BY user_id, s")
+def stream_state_session(spark, d):
+    return _ranges(spark, d, Session(timedelta(hours=6)))
+
+
+@query(
+    f"SELECT user_id, s AS start_ms, s + 86400000 AS end_ms, true AS final, {_RANGE} FROM "
+    "(SELECT *, unnest(generate_series(((epoch_us(ts) // 1000) // 43200000 - 1) * 43200000, ((epoch_us(ts) // 1000) // 43200000) * 43200000, 43200000)) AS s FROM events) GROUP BY 1, 2, 3"
+)
+def stream_state_sliding(spark, d):
+    return _ranges(spark, d, Sliding(DAY, timedelta(hours=12)))
+
+
+@query(
+    f"SELECT user_id, start_ms, start_ms + 86400000 AS end_ms, pane = 4 AS final, n, low, high FROM (SELECT user_id, ((epoch_us(ts) // 1000) // 86400000) * 86400000 AS start_ms, {_RANGE} FROM events GROUP BY 1, 2), range(1, 5) r(pane)"
+)
+def stream_early_panes(spark, d):
+    """All elements are there when the watermark passes the panes, so each shows the whole window."""
+    return _ranges(spark, d, Tumbling(DAY), Periodic(timedelta(hours=6)))
+
+
 def queries() -> dict[str, Query]:
     return {k.rstrip("_"): f for k, f in QUERIES.items()}
 

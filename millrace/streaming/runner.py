@@ -39,10 +39,16 @@ def ending(spark: SparkSession, path: str, event_time: str, delay: str = "0 seco
     return dataset(both, event_time, delay)
 
 
-def run_to_end(ds: Dataset, mode: str = "append") -> DataFrame:
-    """What the query emits until its input is used up, as a bounded DataFrame; exactly once, also after a restart."""
+def run_to_end(ds: Dataset, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """What the query emits until its input is used up, as a bounded DataFrame.
+
+    ``folder`` holds output and state.  A run that was broken off goes on from
+    there if it is given the same one, and each row is emitted exactly once;
+    without it each call starts afresh.
+    """
     spark = ds.df.sparkSession
-    out, state = shared_folder(spark, "emitted"), shared_folder(spark, "state")
+    folder = folder or shared_folder(spark, "run")
+    out, state = f"{folder}/emitted", f"{folder}/state"
     df = ds.df
     if mode == "append":
         query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
