@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import mixing, packing, pii, quality, simhash
-from millrace.llm.common import cut, table
+from millrace.llm.common import table
+from millrace.sources.shared import shared_folder
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ STAGES = [
     ("packing", _packing),
 ]
 
-#: SimHash needs XXH64, which SQL does not have; tests hold the stages against brute force.
+#: Near copies are found by hashes that SQL does not have; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -46,5 +47,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut(docs)
+            at = shared_folder(spark, f"stage-{k}")
+            docs.write.parquet(at)
+            docs = spark.read.parquet(at)
     return docs
