@@ -73,6 +73,23 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     return crc
 
 
+def crc16_bits(value: int, n: int, crc: int) -> int:
+    """``crc16`` over the lowest n bits of value, the highest of them first."""
+    for k in range(n - 1, -1, -1):
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15 ^ value >> k) & 1 else 0)
+    return crc
+
+
+#: Layer II: the bits of a subband's allocation; by bit rate a channel and sampling rate.
+_ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
 @dataclass(frozen=True)
 class Header:
     version: float  # 1, 2 or 2.5
@@ -82,6 +99,8 @@ class Header:
     hertz: int
     padding: int
     mono: bool
+    #: The first subband that the channels share; 32 if none.
+    bound: int = 32
 
     @property
     def samples(self) -> int:
@@ -103,6 +122,37 @@ class Header:
         return (17 if self.mono else 32) if self.version == 1 else (9 if self.mono else 17)
 
 
+def checked_bits(h: Header, data: bytes, at: int) -> int:
+    """How many bits after its checksum a frame's checksum covers."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (h.bound * channels + 32 - h.bound)
+    each = h.kbits // channels
+    name = "low" if h.version != 1 else ("d" if h.hertz == 32000 else "c") if each <= 48 else "a" if each <= 80 or h.hertz == 48000 else "b"
+    fields = [(bits, channels if k >= h.bound else 1) for k, bits in enumerate(_ALLOCATION[name]) for _ in range(channels if k < h.bound else 1)]
+    n = sum(bits for bits, _ in fields)
+    value = int.from_bytes(data[at : at + (n + 7) // 8].ljust((n + 7) // 8, b"\0"), "big") >> -n % 8
+    left, selected = n, 0
+    for bits, sharing in fields:
+        left -= bits
+        selected += sharing * ((value >> left) & ((1 << bits) - 1) != 0)
+    return n + 2 * selected
+
+
+def crc_is_good(h: Header, data: bytes, at: int) -> bool | None:
+    """Whether the checksum of the frame at ``at`` is right; None if the frame ends before what it covers."""
+    n = checked_bits(h, data, at + 6)
+    whole, rest = divmod(n, 8)
+    if h.length < 6 + whole + (rest > 0):
+        return None
+    crc = crc16(data[at + 6 : at + 6 + whole], crc16(data[at + 2 : at + 4]))
+    if rest:
+        crc = crc16_bits(data[at + 6 + whole] >> (8 - rest), rest, crc)
+    return crc == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 _KNOWN: dict[bytes, Header | None] = {}
 
 
@@ -117,7 +167,7 @@ def header(four: bytes) -> Header | None:
         if version and layer < 4 and 0 < rate < 15 and hertz < 3 and four[3] & 3 != 2:
             kbits = _RATES[(1, layer) if version == 1 else (2, 1 if layer == 1 else 2)][rate]
             down = {1: 1, 2: 2, 2.5: 4}[version]
-            out = Header(version, layer, not four[1] & 1, kbits, _HERTZ[hertz] // down, four[2] >> 1 & 1, four[3] >> 6 == 3)
+            out = Header(version, layer, not four[1] & 1, kbits, _HERTZ[hertz] // down, four[2] >> 1 & 1, four[3] >> 6 == 3, 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 and layer < 3 else 32)
     if len(_KNOWN) < 65536:
         _KNOWN[four] = out
     return out
@@ -280,8 +330,7 @@ def parse(data: bytes) -> Stream:
             out.n_resync += 1
             at, h = to, header(data[to : to + 4])
         like = h
-        if h.protected and h.layer == 3 and h.length >= 6 + h.side:
-            good = crc16(data[at + 6 : at + 6 + h.side], crc16(data[at + 2 : at + 4])) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.protected and (good := crc_is_good(h, data, at)) is not None:
             out.n_crc_ok += good
             out.n_crc_bad += not good
         if looked or not _table(data, at, h, out):
@@ -366,7 +415,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """doc_id, media (the stored bytes), seconds, and seek (array of sample, offset) of each document."""
+    """doc_id, media (the stored bytes), the duration as a fraction (seconds_num, seconds_den), offsets (of every frame) and seek (array of sample, offset)."""
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
@@ -376,14 +425,16 @@ def media_column(docs: DataFrame) -> DataFrame:
                 {
                     "doc_id": rows["doc_id"],
                     "media": media,
-                    "seconds": [float(s.seconds) for s in found],
+                    "seconds_num": [s.seconds.numerator for s in found],
+                    "seconds_den": [s.seconds.denominator for s in found],
+                    "offsets": [s.offsets for s in found],
                     "seek": [[{"sample": a, "offset": b} for a, b in s.seek()] for s in found],
                 }
             )
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInPandas(encode, "doc_id string, media binary, seconds double, seek array<struct<sample:long,offset:long>>")
+    out = rows.mapInPandas(encode, "doc_id string, media binary, seconds_num long, seconds_den long, offsets array<long>, seek array<struct<sample:long,offset:long>>")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

@@ -342,6 +342,38 @@ def test_mixing(docs):
     assert {r.taken for r in mixing.mix(docs([(1, None), (2, "")])).collect()} == {0}
 
 
+def test_equal_rows_are_drawn_one_by_one(docs):
+    rows = [(1, "one two three four five six seven eight nine ten", "en", "a")] * 100 + [(10 + i, "w " * 10, "en", "b") for i in range(250)]
+    out = mixing.mix(docs(rows)).collect()
+    for s, size in (("a", 1000), ("b", 2500)):
+        own = [r for r in out if (r.doc_id == 1) == (s == "a")]
+        assert own[0].source_size == size and abs(sum(r.taken for r in own) - own[0].target) <= 10
+    assert 1 < len({r.n_copies for r in out if r.doc_id == 1})
+
+
+def test_inclusion_follows_the_odds(docs):
+    rows = [(i, "w " * (3 if i % 3 else 900), "en", "ab"[i % 2]) for i in range(120)]
+    table = docs(rows, extra=False)
+    light = mixing._measured(table, ["size", "class", "u", "k1", "k2"], "x").select("source", "size", "class", "u")
+    copies = {(r.source, r["class"]): r.copies for r in mixing.expected(light).collect()}
+    assert len(set(copies.values())) == 4 and all(0 < c < 3 for c in copies.values())
+    got, seeds = Counter(), 6
+    for seed in range(seeds):
+        for r in mixing.mix(table, f"seed{seed}").collect():
+            got[r.doc_id] += r.n_copies
+    for kind in copies:
+        ids = [i for i, t, _, s in rows if (s, 2 if len(t) < 10 else 10) == kind]
+        assert abs(sum(got[i] for i in ids) / len(ids) / seeds - copies[kind]) < 0.17
+
+
+def test_ranks_are_cut_into_bins_again(docs, monkeypatch):
+    rows = [(i, "w " * (i % 50 + 1), "en", "ab"[i % 2]) for i in range(400)]
+    whole = Counter(map(tuple, mixing.mix(docs(rows)).collect()))
+    monkeypatch.setattr(mixing, "ORDERED", 3)
+    monkeypatch.setattr(mixing, "BINS", 4)
+    assert Counter(map(tuple, mixing.mix(docs(rows)).collect())) == whole
+
+
 # op9
 
 
@@ -356,7 +388,43 @@ def test_media_round_trip(docs):
         assert r.feature.startswith(f"frames={len(payload) // 192};") and ";resync=0;" in r.feature
     assert media.digest(docs([])).collect() == []
     (one,) = media.media_column(docs([(1, "abc")])).collect()
-    assert one.seconds == 0.036 and one.seek[0]["offset"] == 28 + 216
+    assert (one.seconds_num, one.seconds_den) == (9, 250) and one.seek[0]["offset"] == 28 + 216 and one.offsets == [28 + 216]
+
+
+def protected_frame(header, size, bits):
+    """A frame whose checksum is computed bit by bit over the header's last half and ``bits``."""
+    crc = 0xFFFF
+    for bit in f"{int.from_bytes(header[2:], 'big'):016b}{bits}":
+        top = crc >> 15 ^ int(bit)
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if top else 0)
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    return header + crc.to_bytes(2, "big") + body + b"\x55" * (size - 6 - len(body))
+
+
+def test_checksums_of_every_layer():
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("01") for _ in range(n))
+    stereo, joint, mono = b"\x00", b"\x50", b"\xc0"  # joint: subbands from 8 on are shared
+    cases = [(bytes((0xFF, 0xFE, 0x80)) + mode, 12 * 256000 // 44100 * 4, some(n)) for mode, n in ((stereo, 256), (joint, 4 * (16 + 24)), (mono, 128))]
+    for mode, fields in ((stereo, [b for b in [4] * 11 + [3] * 12 + [2] * 4 for _ in range(2)]), (joint, [4] * 16 + [4] * 3 + [3] * 12 + [2] * 4)):
+        # layer II, 128 kbit/s at 44.1 kHz: 64 a channel
+        values = [rng.choice((0, rng.randrange(1 << b))) for b in fields]
+        shared = mode == joint
+        n = sum((2 if shared and k >= 16 else 1) for k, v in enumerate(values) if v)
+        bits = "".join(f"{v:0{b}b}" for v, b in zip(values, fields)) + some(2 * n)
+        cases.append((bytes((0xFF, 0xFC, 0x80)) + mode, 144 * 128000 // 44100, bits))
+    for head, size, bits in cases:
+        frame = protected_frame(head, size, bits)
+        s = media.parse(frame * 3)
+        assert (len(s.offsets), s.n_crc_ok, s.n_crc_bad) == (3, 3, 0)
+        for k in (8 * 6, 8 * 6 + len(bits) - 1):  # the first and the last bit that are covered, and the next
+            broken = bytearray(frame * 3)
+            broken[k // 8] ^= 128 >> k % 8
+            assert media.parse(bytes(broken)).n_crc_bad == 1 or k > 48
+        k = 8 * 6 + len(bits)
+        broken = bytearray(frame * 3)
+        broken[k // 8] ^= 128 >> k % 8
+        assert media.parse(bytes(broken)).n_crc_bad == 0
 
 
 def frames(kbits, n, hertz=44100, pad=0):
