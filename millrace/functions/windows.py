@@ -187,6 +187,8 @@ class Custom(Windowing):
 
 def window_time(ds: Dataset) -> Column | None:
     """The time of what a window emits: the last instant inside it; null for windows that are not intervals."""
-    if ds.window is None or not isinstance(ds.windowing, (Tumbling, Sliding, Session)):
+    if ds.window is None or not isinstance(ds.windowing, (Tumbling, Sliding, Session, Intervals)):
         return None
+    if not ds.df.schema[ds.window].dataType["end"].dataType.typeName().startswith("timestamp"):
+        return None  # intervals of something other than time
     return F.col(f"{ds.window}.end") - interval(MICRO)

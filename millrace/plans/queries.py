@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from millrace.dataset import Dataset
 from millrace.functions import reducers as R
-from millrace.functions.windows import Count, Custom, Global, Session, Sliding, Tumbling
+from millrace.functions.scalars import access_log
+from millrace.functions.windows import Count, Custom, Global, Intervals, Session, Sliding, Tumbling
 from millrace.operators.elementwise import assign_event_time, filter_by, flat_map, map_elements, map_partitions, split
 from millrace.operators.joins import full_join, join, left_join, right_join
 from millrace.operators.keyed import count_by_key, reduce_by_key, reduce_groups, reduce_to_many, reduce_window, running, sum_by_key, top_per_key
@@ -223,6 +224,26 @@ def custom_window(spark, d):
     return out.df.withColumnRenamed("window", "label")
 
 
+@query(f"SELECT user_id AS key, (epoch_us(min(ts)) // 1000) AS start_ms, (epoch_us(max(ts)) // 1000) + 21600000 AS end_ms, count(*)::BIGINT AS n FROM ({_SESSIONS}) GROUP BY user_id, s")
+def merging_intervals(spark, d):
+    windows = Intervals(F.col("ts"), F.col("ts") + F.expr("INTERVAL 6 HOURS"))
+    return flat(reduce_by_key(events(spark, d), "user_id", {"n": R.count()}, windows), "key", "n")
+
+
+@query("SELECT key, list_reduce(list_prepend(7, v), lambda a, x: (a * 31 + x) % 1000003)::BIGINT AS folded, list_reduce(v, lambda a, x: (a * 17 + x) % 999983)::BIGINT AS from_first FROM (SELECT user_id AS key, list(event_id ORDER BY event_id) AS v FROM events GROUP BY 1)")
+def fold_values(spark, d):
+    folded = R.fold("event_id", F.lit(7).cast("long"), lambda a, x: (a * 31 + x) % 1000003, "event_id")
+    first = R.fold_first("event_id", lambda a, x: (a * 17 + x) % 999983, "event_id")
+    return reduce_by_key(events(spark, d), "user_id", {"folded": folded, "from_first": first}).df
+
+
+@query("SELECT host, bytes FROM (SELECT 'h' || user_id AS host, event_id AS bytes FROM events)")
+def access_log_lines(spark, d):
+    line = F.concat(F.lit("h"), F.col("user_id"), F.lit(' - - [01/Jan/2024:00:00:00 +0000] "GET / HTTP/1.1" 200 '), F.col("event_id"))
+    parsed = map_elements(events(spark, d), {"log": access_log(line)}).df
+    return parsed.select("log.host", "log.bytes")
+
+
 @query("SELECT h * 3600000 AS start_ms, (h + 1) * 3600000 AS end_ms, max(n)::BIGINT AS top, count(*)::BIGINT AS keys FROM (SELECT user_id, (epoch_us(ts) // 1000) // 3600000 AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY h")
 def attached_window(spark, d):
     hourly = count_by_key(events(spark, d), "user_id", Tumbling(HOUR))

@@ -9,6 +9,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
@@ -126,12 +127,16 @@ def routed(select: Column, sinks: Mapping[Any, Sink]) -> Sink:
 
     def write(ds: Dataset) -> None:
         def each(df: DataFrame, *_: Any) -> None:
-            keyed = df.withColumn("__to", select)
-            unknown = keyed.where(~F.coalesce(F.col("__to").isin(*sinks), F.lit(False))).select("__to").take(1)
-            if unknown:
-                raise KeyError(f"no sink for {unknown[0][0]!r}")
-            for k, sink in sinks.items():
-                sink(ds.having(keyed.where(F.col("__to") == k).drop("__to")))
+            # computed once for the check and all sinks
+            keyed = df.withColumn("__to", select).persist(StorageLevel.DISK_ONLY)
+            try:
+                unknown = keyed.where(~F.coalesce(F.col("__to").isin(*sinks), F.lit(False))).select("__to").take(1)
+                if unknown:
+                    raise KeyError(f"no sink for {unknown[0][0]!r}")
+                for k, sink in sinks.items():
+                    sink(ds.having(keyed.where(F.col("__to") == k).drop("__to")))
+            finally:
+                keyed.unpersist()
 
         return each(ds.df) if ds.bounded else ds.df.writeStream.foreachBatch(each).start()
 
