@@ -8,8 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from test_pii import slow as slow_pii
 from test_quality import base
-from test_simhash import classes
-from test_simhash import slow as slow_print
+from test_simhash import groups, shingles
 
 import corpus_pipeline
 from millrace.llm import packing, queries
@@ -37,13 +36,21 @@ def documents():
 
 def quality(rows):
     line = lambda x: re.sub("[0-9]", "0", x.lower()).strip(" \t\x0b\x0c\r")
-    kins, n = defaultdict(set), Counter()
+    texts = list(dict.fromkeys(r[1] or "" for r in rows))
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    named = dict(zip(texts, root))
+    held = defaultdict(set)
     for _, text, _, source in rows:
-        kin = max(((len(w), w) for w in WORD.findall(text or "")), default=(0, ""))[1]
         for x in {line(x) for x in (text or "").split("\n")} - {""}:
-            kins[source, x].add(kin)
-            n[source, x] += 1
-    frequent = {k for k, v in kins.items() if len(v) > 20 and 2 * len(v) >= n[k]}
+            held[source, x].add(named[text or ""])
+    frequent = {k for k, v in held.items() if len(v) > 20}
     out = []
     for i, text, lang, source in rows:
         n_words, *_, failed = base(text)
@@ -55,8 +62,7 @@ def quality(rows):
 
 
 def dedup(rows):
-    named = classes([r[0] for r in rows], [slow_print(r[1]) for r in rows])
-    return [next(r for r in rows if r[0] == i) for i in dict.fromkeys(named)]
+    return [min((rows[k] for k in own), key=lambda r: (r[0] is None, r[0])) for own in groups([(k, r[1]) for k, r in enumerate(rows)])]
 
 
 def pii(rows):
@@ -88,26 +94,36 @@ def mixing(rows):
         capped |= over
     out = Counter()
     for s in order:
-        copies = target[s] / total[s]
-        whole, f = int(copies), copies - int(copies)
-        u = {}
-        for r in rows:
-            if r[3] == s:
-                out[r] += whole
-                name = f"millrace-mix|{'' if r[0] is None else r[0]}|{hashlib.md5(r[1].encode()).hexdigest()}"
-                x = (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-                u[r] = (x / (1 - x)) / (f / (1 - f)) if f else None
-        if f:
-            missing, after = target[s] - whole * total[s], []
-            for r in sorted(u, key=u.get):
-                if not after and size[r] <= missing:
-                    out[r] += 1
-                    missing -= size[r]
-                else:
-                    after.append(r)
-            near = min(((abs(size[r] - missing), u[r], k) for k, r in enumerate(after) if abs(size[r] - missing) < missing), default=None)
-            if near:
-                out[after[near[2]]] += 1
+        own, words = [r for r in rows if r[3] == s], Counter()
+        for r in own:
+            words[size[r].bit_length()] += size[r]
+        kappa, top = 0.0, -1
+        for c in sorted(words, reverse=True):
+            above, below = sum(w for k, w in words.items() if k > c), sum(k * w for k, w in words.items() if k <= c)
+            if (target[s] - 3.0 * above) / below * c <= 3:
+                kappa, top = (target[s] - 3.0 * above) / below, c
+                break
+        u, missing = {}, target[s]
+        for r in own:
+            c = size[r].bit_length()
+            copies = 3.0 if c > top else kappa * c
+            out[r] += int(copies)
+            missing -= int(copies) * size[r]
+            f = copies - int(copies)
+            name = f"millrace-mix|{'' if r[0] is None else r[0]}|{hashlib.md5(r[1].encode()).hexdigest()}|1"
+            x = (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if f:
+                u[r] = (x / (1 - x)) / (f / (1 - f))
+        after = []
+        for r in sorted(u, key=u.get):
+            if not after and size[r] <= missing:
+                out[r] += 1
+                missing -= size[r]
+            else:
+                after.append(r)
+        near = min(((abs(size[r] - missing), u[r], k) for k, r in enumerate(after) if abs(size[r] - missing) < missing), default=None)
+        if near:
+            out[after[near[2]]] += 1
     return out
 
 
@@ -127,7 +143,7 @@ def test_pipeline(spark, tables):
     assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter({(i, len(WORD.findall(t))): n for (i, t, _, _), n in want.items() if n})
     lengths = Counter(len(WORD.findall(t)) for (_, t, _, _), n in want.items() for _ in range(n))
     known = sorted(lengths)
-    ends = packing.boundaries(known, [lengths[n] for n in known], [n * lengths[n] for n in known], packing.BUCKETS)
+    ends = packing.boundaries(known, [lengths[n] for n in known], packing.BUCKETS)
     assert {r.bucket_length for r in out} == {known[e] for e in ends}
 
 
