@@ -52,21 +52,26 @@ def pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     at = F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)))))
     windows = words.select("c1", "c2", "w", at.alias("i")).select("c1", "c2", F.xxhash64(*(F.get("w", F.col("i") + k) for k in range(SHINGLE))).alias("h"))
     once = windows.groupBy("c1", "c2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(m) for m, s in zip(names, _SEEDS)))
-    variants = [F.xxhash64(F.lit(k), *(m for j, m in enumerate(names) if j // WIDTH == k // WIDTH and j != k)) for k in range(MINHASHES)]
-    kept = cut(once.select("c1", "c2", F.array(*variants).alias("variants")))
-    held = kept.select("c1", "c2", F.explode("variants").alias("v"))
+    # their upper halves, two to a long, and a text is a number that the checkpoint fixes: this is what is written and shuffled for each text
+    half = lambda m: F.shiftrightunsigned(F.col(m), 32)
+    packed = [F.call_function("shiftleft", half(a), F.lit(32)).bitwiseOR(half(b)).alias(a) for a, b in zip(names[::2], names[1::2])]
+    kept = cut(once.select("c1", "c2", *packed, F.monotonically_increasing_id().alias("id")))
+    value = [F.shiftrightunsigned(F.col(names[k]), 32) if k % 2 == 0 else F.col(names[k - 1]).bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(MINHASHES)]
+    variants = [F.xxhash64(F.lit(k), *(m for j, m in enumerate(value) if j // WIDTH == k // WIDTH and j != k)) for k in range(MINHASHES)]
+    held = kept.select("id", F.explode(F.array(*variants)).alias("v"))
     common = held.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut(held.join(common, "v"))
-    middle = met.groupBy("c1", "c2").agg(F.sum("n").alias("n"))
-    first = F.max(F.struct("n", "c1", "c2")).alias("to")
-    leaders = met.drop("n").join(middle, ["c1", "c2"]).groupBy("v").agg(first).select("v", F.col("to.c1").alias("b1"), F.col("to.c2").alias("b2"))
-    found = met.join(leaders, "v").select("c1", "c2", "b1", "b2").where("c1 <> b1 OR c2 <> b2").distinct()
-    found = cut(found)
-    ends = found.select("c1", "c2").unionByName(found.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
-    # the first of the rows with equal text: which one does not matter, and no text is shuffled
-    known = cut(_shingled(texts.join(lookup(ends), ["c1", "c2"])).groupBy("c1", "c2").agg(F.first("sh").alias("sh")))
-    to = lookup(known.join(found.select(F.col("b1").alias("c1"), F.col("b2").alias("c2")).distinct(), ["c1", "c2"], "left_semi").toDF("b1", "b2", "other"))
-    both = found.join(known, ["c1", "c2"]).join(to, ["b1", "b2"])
+    middle = met.groupBy("id").agg(F.sum("n").alias("n"))
+    # of equally close ones another in each variant: what lies too far from one meets the others elsewhere
+    first = F.max(F.struct("n", F.xxhash64("v", "id").alias("turn"), "id")).alias("to")
+    leaders = met.drop("n").join(middle, "id").groupBy("v").agg(first).select("v", F.col("to.id").alias("b"))
+    found = cut(met.join(leaders, "v").select("id", "b").where("id <> b").distinct())
+    ends = found.select("id").unionByName(found.select(F.col("b").alias("id"))).distinct()
+    ends = lookup(kept.select("id", "c1", "c2").join(ends, "id"))
+    # of the rows with equal text any will do, and no text is shuffled
+    known = cut(_shingled(texts.join(ends, ["c1", "c2"])).join(ends, ["c1", "c2"]).groupBy("id").agg(F.first("sh").alias("sh"), F.first("c1").alias("c1"), F.first("c2").alias("c2")))
+    to = lookup(known.join(found.select(F.col("b").alias("id")).distinct(), "id", "left_semi").toDF("b", "other", "b1", "b2"))
+    both = found.join(known, "id").join(to, "b")
     same = F.size(F.array_intersect("sh", "other"))
     near = both.withColumn("same", same).where(F.col("same") >= similarity * (F.size("sh") + F.size("other") - F.col("same")) - 1e-9)
     return near.select(F.struct("c1", "c2").alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b"))

@@ -7,9 +7,7 @@ too little is left is rejected.
 
 A near-copied text is not boilerplate, though each of its lines is in many
 documents: exact copies and near copies (``near.classes``, at a similarity of
-0.8) are one document in these counts, however many there are.  Lines in over
-``max_docs`` different texts of their host are found first, and near copies are
-looked for among the texts that hold one.
+0.8) are one document in these counts, however many there are.
 
 Defined results: a null text is the empty text (0 words, fails the base
 rules); a null source is a host of its own; equal rows get equal verdicts and
@@ -98,11 +96,12 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     c1, c2 = content_id(text_of())
     base = docs.select("source", text_of().alias("t"), c1.alias("c1"), c2.alias("c2"))
     keys = base.select("source", "c1", "c2", _normal_lines("t").alias("lines")).select("c1", "c2", F.array_distinct(F.transform("lines", _key)).alias("keys"))
-    held = cut(keys.select("c1", "c2", F.explode("keys").alias("key")).distinct())
-    shared = lookup(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("key"))
-    held = cut(held.join(shared, "key"))
-    some = base.select("c1", "c2", "t").join(lookup(held.select("c1", "c2").distinct()), ["c1", "c2"])
-    classed = near.with_classes(held, near.classes(some)).select("key", "k1", "k2").distinct()
+    every = keys.select("c1", "c2", F.explode("keys").alias("key"))
+    often = lambda rows: lookup(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("key"))
+    # lines in many rows, then those in many texts: the texts are split twice, but only lines in many rows are shuffled with them
+    held = cut(every.join(often(every.select("key")), "key").distinct())
+    held = cut(held.join(often(held), "key"))
+    classed = near.with_classes(held, near.classes(near.texts_of(docs))).select("key", "k1", "k2").distinct()
     return classed.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
