@@ -166,15 +166,32 @@ def _classes_with(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
     return near.with_classes(rows.select(key, "c1", "c2"), found).select(key, "k1", "k2").distinct()
 
 
-def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ent, term, disclosure) of the terms at or above the threshold, and (c1, c2, term) of the texts that hold a term that may be one.
+def _n_t(terms: DataFrame, contents: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, n_t): the classes that hold each term of (c1, c2, term).
+
+    A text that has no copy of any kind is a class of its own: its terms are
+    counted where they are, in partial sums.  Only those of texts with copies
+    are shuffled with their class, so that each class counts once.
+    """
+    one, two = F.lit(1).cast("long"), F.count(F.lit(1))
+    several = near.with_classes(contents.where("n_rows > 1").select("c1", "c2").unionByName(found.select("c1", "c2")).distinct(), found)
+    side = lookup(several.toDF("d1", "d2", "k1", "k2"))
+    tagged = terms.join(side, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")), "left")
+    # one aggregate for both: a text on its own has the class null, whose rows are all counted
+    by_class = tagged.groupBy("term", "k1", "k2").agg(two.alias("n"))
+    counted = by_class.select("term", F.when(F.col("k1").isNull(), F.col("n")).otherwise(one).alias("n"))
+    return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(ent, term, disclosure) of the terms at or above the threshold.
 
     A pair has n(t, e) <= min(n(t), n(e)), so only entities and terms in
     ``MIN_SUPPORT`` documents, and terms with log(N / n(t)) >= THRESHOLD log(N / n(e)),
     can reach the threshold; the others are left out before pairs are made.
     """
     every = _words(docs)
-    contents = cut(every.select("c1", "c2", "ents").groupBy("c1", "c2").agg(F.first("ents").alias("ents")))
+    contents = cut(every.select("c1", "c2", "ents").groupBy("c1", "c2").agg(F.first("ents").alias("ents"), F.count(F.lit(1)).alias("n_rows")))
     found = near.classes(near.texts_of(docs))
     in_classes, n_classes = found.agg(F.count(F.lit(1)), F.count_distinct("k1", "k2")).first()
     n = float(contents.count() - in_classes + n_classes)
@@ -185,25 +202,28 @@ def disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = _masked(every.where(F.size("ents") > 0), "m")
     plain = every.where(F.size("ents") == 0)
     close = cut(_terms(some.join(lookup(held.select("c1", "c2").distinct()), ["c1", "c2"])).distinct())
-    many = lookup(_classes_with(close, "term", found).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT).select("term"))
-    holding = cut(_terms(some.unionByName(plain)).join(many, "term").select("c1", "c2", "term").distinct())
-    n_t = _classes_with(holding, "term", found).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     most = held.agg(F.max("n_e")).first()[0] or 0
-    content = F.log2(F.lit(n) / F.col("n_e"))
     # a hair below the threshold, so that rounding leaves out no term that the value itself would keep
-    n_t = lookup(n_t.where(F.log2(F.lit(n) / F.col("n_t")) >= (THRESHOLD - 1e-9) * F.log2(F.lit(n) / F.lit(float(max(most, 1))))))
+    rare = lambda c: F.log2(F.lit(n) / F.col(c)) >= (THRESHOLD - 1e-9) * F.log2(F.lit(n) / F.lit(float(max(most, 1))))
+    # a term that is too frequent in the documents with entities is so in all: common words are not counted any further
+    by_term = _classes_with(close, "term", found).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    many = lookup(by_term.where((F.col("n") >= MIN_SUPPORT) & rare("n")).select("term"))
+    n_t = lookup(_n_t(_terms(some.unionByName(plain)).join(many, "term"), contents, found).where(rare("n_t")))
+    content = F.log2(F.lit(n) / F.col("n_e"))
     pairs = close.join(n_t, "term").join(held, ["c1", "c2"])
     pairs = pairs.where(F.log2(F.lit(n) / F.col("n_t")) >= (THRESHOLD - 1e-9) * content)
     witnesses = near.with_classes(pairs, found).select("ent", "term", "n_e", "n_t", "k1", "k2").distinct()
     known = witnesses.groupBy("ent", "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_te") >= MIN_SUPPORT)
     value = F.log2(F.lit(n) * F.col("n_te") / F.col("n_t") / F.col("n_e")) / content
-    return known.select("ent", "term", value.alias("disclosure")).where(F.col("disclosure") >= THRESHOLD), holding
+    return known.select("ent", "term", value.alias("disclosure")).where(F.col("disclosure") >= THRESHOLD)
 
 
 def term_spans(docs: DataFrame) -> DataFrame:
     """(c1, c2, terms): the places of the terms in each distinct text that has some."""
-    found, holding = disclosing(docs)
-    by_text = holding.join(lookup(found.select("term").distinct()), "term").groupBy("c1", "c2").agg(F.collect_set("term").alias("wanted"))
+    terms = lookup(disclosing(docs).select("term").distinct())
+    if terms.isEmpty():  # nothing to look for
+        return docs.sparkSession.createDataFrame([], f"c1 long, c2 long, terms {_PLACE}")
+    by_text = _terms(_words(docs)).join(terms, "term").groupBy("c1", "c2").agg(F.collect_set("term").alias("wanted"))
     rows = _words(docs).join(lookup(by_text), ["c1", "c2"]).select("c1", "c2", "wanted", "m")
     word = r"[^\x20\x09-\x0D]++"
     rows = _masked(rows, "m").select("c1", "c2", "wanted", F.split("m", word).alias("gaps"), F.regexp_extract_all("m", F.lit(word), F.lit(0)).alias("words"))

@@ -139,7 +139,7 @@ def test_disclosure_by_brute_force(docs):
                 if value >= pii.THRESHOLD:
                     want[e, t] = value
     assert len(want) > 3
-    found = {(r.ent, r.term): r.disclosure for r in pii.disclosing(docs(rows))[0].collect()}
+    found = {(r.ent, r.term): r.disclosure for r in pii.disclosing(docs(rows)).collect()}
     assert sorted(found.values()) == pytest.approx(sorted(want.values()))
     hidden = {t for _, t in want}
     out = {r.doc_id: r.n_term for r in pii.find(docs(rows)).collect()}
