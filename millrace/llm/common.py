@@ -17,6 +17,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes up to which a lookup side may be broadcast, counted as below.
 BROADCAST_BYTES = 8 << 20
 ROW_BYTES = 64
+#: Links up to which components are found in one task.
+FEW_LINKS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,20 +128,40 @@ def numbered(df: DataFrame, k1: str, k2: str) -> tuple[DataFrame, str]:
     return alone.withColumn(number, F.lit(1).cast("long")).unionByName(placed), number
 
 
+def _star_round(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over (u, v); equi-joins, which Spark can split where they are skewed."""
+    # large star: larger neighbours move to the least of the neighbourhood
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
+    moved = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # small star: smaller neighbours, and the node, move to the least of them
+    down = moved.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+    joined = moved.join(down, F.col("u") == F.col("k"))
+    small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v")))
+    return small.distinct()
+
+
+def _star_round_of_few(edges: DataFrame) -> DataFrame:
+    """The same in one partition, by windows: one task and no shuffle."""
+    least = F.min("v").over(Window.partitionBy("u"))
+    turned = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    both = edges.coalesce(1).select(F.inline(F.array(F.struct("u", "v"), turned))).withColumn("m", F.least(least, "u"))
+    moved = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().withColumn("m", least)
+    small = moved.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+    return small.where("u <> v").distinct()
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """(a, b) links of any orderable type to (node, root): every linked node and the least node it reaches."""
+    """(a, b) links of any orderable type to (node, root): every linked node and the least node it reaches.
+
+    The links are counted first: rounds over at most ``FEW_LINKS`` are one task each, which
+    dealing them to all partitions would turn into thousands of nearly empty ones.
+    """
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    step = _star_round_of_few if edges.count() <= FEW_LINKS else _star_round
     before = None
     while True:
-        # large star: larger neighbours move to the least of the neighbourhood
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-        moved = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: smaller neighbours, and the node, move to the least of them
-        down = moved.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = moved.join(down, F.col("u") == F.col("k"))
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        edges = cut(small.distinct())
+        edges = cut(step(edges))
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == before:
             break

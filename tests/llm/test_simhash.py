@@ -1,11 +1,12 @@
 import random
 from itertools import combinations
 
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import simhash
+from millrace.llm import common, simhash
 
 
 def slow(text):
@@ -56,6 +57,37 @@ def test_components_of_fingerprints(spark):
     assert [roots.get(p, p) for p in signed] == want
 
 
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components_of_few_and_many_links(spark, monkeypatch, few):
+    rng = random.Random(3)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)] + [(200, 201 + i) for i in range(30)]
+    root = list(range(300))
+    for a, b in links:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = [new if x == old else x for x in root]
+    monkeypatch.setattr(common, "FEW_LINKS", few)
+    found = simhash.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert sorted(found) == sorted((k, root[k]) for k in {x for a, b in links if a != b for x in (a, b)})
+
+
+def test_few_links_take_few_tasks(spark):
+    pairs = common.cut(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"))
+    context, held = spark.sparkContext, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("few links", "")
+    try:
+        simhash.components(pairs).collect()
+        tracker = context.statusTracker()
+        stages = {k for job in tracker.getJobIdsForGroup("few links") for k in tracker.getJobInfo(job).stageIds}
+        assert sum(tracker.getStageInfo(k).numCompletedTasks for k in stages if tracker.getStageInfo(k)) < 500
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert set(simhash.components(pairs).collect()) == {(i, 0) for i in range(201)}
