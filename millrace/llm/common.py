@@ -62,8 +62,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (numbers, strings, arrays of longs and of structs of three numbers) materialised; with the broadcast hint if it was measured to have at most ``most`` bytes."""
-    kept = cut(df)
+    """``df`` materialised; with the broadcast hint if it was measured to have at most ``most`` bytes."""
+    return measured(cut(df), most)
+
+
+def measured(kept: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``kept`` (numbers, strings, arrays of longs and of structs of three numbers), cheap to compute again, with the broadcast hint as in ``lookup``."""
     strings = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in kept.dtypes if kind == "string"]
     strings += [F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) * 8 for c, kind in kept.dtypes if kind.startswith("array<bigint")]
     strings += [F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) * 24 for c, kind in kept.dtypes if kind.startswith("array<struct")]

@@ -23,7 +23,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, content_id, cut, fresh, lookup, words_of
+from millrace.llm.common import components, content_id, cut, fresh, lookup, measured, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -66,12 +66,14 @@ def pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = F.max(F.struct("n", F.xxhash64("v", "id").alias("turn"), "id")).alias("to")
     leaders = met.drop("n").join(middle, "id").groupBy("v").agg(first).select("v", F.col("to.id").alias("b"))
     found = cut(met.join(leaders, "v").select("id", "b").where("id <> b").distinct())
-    ends = found.select("id").unionByName(found.select(F.col("b").alias("id"))).distinct()
-    ends = lookup(kept.select("id", "c1", "c2").join(ends, "id"))
-    # of the rows with equal text any will do, and no text is shuffled
-    known = cut(_shingled(texts.join(ends, ["c1", "c2"])).join(ends, ["c1", "c2"]).groupBy("id").agg(F.first("sh").alias("sh"), F.first("c1").alias("c1"), F.first("c2").alias("c2")))
-    to = lookup(known.join(found.select(F.col("b").alias("id")).distinct(), "id", "left_semi").toDF("b", "other", "b1", "b2"))
-    both = found.join(known, "id").join(to, "b")
+    # a text goes to those it is compared with, and to itself if others come to it
+    needs = found.unionByName(found.select(F.col("b").alias("id"), "b").distinct()).groupBy("id").agg(F.collect_list("b").alias("to"))
+    ends = lookup(kept.select("id", "c1", "c2").join(needs, "id"))
+    # of the rows with equal text any will do, and no text is shuffled; shingles are twice, here and to where they are compared
+    firsts = (F.first(c).alias(c) for c in ("sh", "c1", "c2", "to"))
+    known = cut(_shingled(texts.join(ends, ["c1", "c2"])).join(ends, ["c1", "c2"]).groupBy("id").agg(*firsts))
+    to = measured(known.where(F.array_contains("to", F.col("id"))).select(F.col("id").alias("b"), F.col("sh").alias("other"), F.col("c1").alias("b1"), F.col("c2").alias("b2")))
+    both = known.select("id", "c1", "c2", "sh", F.explode("to").alias("b")).where("id <> b").join(to, "b")
     same = F.size(F.array_intersect("sh", "other"))
     near = both.withColumn("same", same).where(F.col("same") >= similarity * (F.size("sh") + F.size("other") - F.col("same")) - 1e-9)
     return near.select(F.struct("c1", "c2").alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b"))

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from millrace.llm import quality
+from millrace.llm import common, near, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -103,6 +103,31 @@ def test_near_copies_do_not_make_boilerplate_of_their_text(docs):
     assert {r.doc_id: r.text for r in quality.clean(docs(rows)).collect()} == dict(rows)
 
 
+def test_shingles_are_shuffled_twice_only(spark, docs, monkeypatch):
+    words = [[f"w{i}x{k * k % 997}" for k in range(1500)] for i in range(60)]
+    texts = [" ".join(w[:200] + [f"v{j}"] + w[201:]) for w in words for j in range(2)]
+    # ids are broadcast, shingles are not
+    monkeypatch.setattr(common.lookup, "__defaults__", (1 << 16,))
+    monkeypatch.setattr(common.measured, "__defaults__", (1 << 16,))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    context = spark.sparkContext
+    rows = common.cut(near.texts_of(docs(list(enumerate(texts)))))
+    context.setJobGroup("shingles", "")
+    try:
+        found = near.pairs(rows).collect()
+        assert len({frozenset(r) for r in found}) == 60
+        tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+        stages = {k for job in tracker.getJobIdsForGroup("shingles") for k in tracker.getJobInfo(job).stageIds}
+        written = sum(store.lastStageAttempt(k).shuffleWriteBytes() for k in stages)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # each text's once, and once more for each comparison and each text compared with
+    each = 8 * 1497
+    assert written < 0.9 * each * (len(texts) + len(found) + len({r.b for r in found}))
+
+
 def test_repeated_and_null_rows(docs):
     rows = [(None, body(1), None, None), (None, body(1), None, None), (1, None, None, None), (1, body(2))]
     out = quality.line_frequency(docs(rows)).collect()
