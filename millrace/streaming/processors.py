@@ -1,13 +1,18 @@
 """Stateful processing of streams that Spark's aggregates can't express.
 
-Elements without a key are dropped.  Both operators keep their state in the state store, one key at a time, and
-never hold more than a key's open window.  They need the RocksDB provider
+Elements without a key are dropped.  The operators keep their state in the state store, one key at a time, and
+never hold more than a key's open windows, of those that are large only one.  They need the RocksDB provider
 (``use_rocksdb``).
+
+Each call of the store goes from the Python worker to the JVM and back, for about
+a millisecond, and so does each timer: a key makes a few of them in a
+micro-batch, however many elements and windows it has (``OpenWindows``).
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from typing import Any
@@ -23,6 +28,10 @@ from millrace.streaming.runner import FAR
 
 _EPOCH = datetime(1970, 1, 1)
 _FAR_MS = (FAR - _EPOCH) // timedelta(milliseconds=1)
+#: Bytes of a state that is kept beside the list of a key's windows.
+SMALL = 4096
+#: Rows that are emitted together.
+ROWS = 1000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -74,53 +83,107 @@ def count_windows(ds: Dataset, key: str, value: str, size: int) -> Dataset:
     return Dataset(rows.groupBy(key).transformWithStateInPandas(_CountWindows(size, key, value, ds.time), schema, "Append", "EventTime"))
 
 
-class _WindowedState(StatefulProcessor):
-    """A user's fold over tumbling windows, with accumulating early panes on an event-time grid."""
+class OpenWindows(StatefulProcessor):
+    """A key's open windows, in one value of the store, and one timer, at the first time when any of them is due.
 
-    def __init__(self, key: str, time: str, size_ms: int, early_ms: int | None, start: Any, add: Callable, flush: Callable, strict: bool):
-        self.key, self.time, self.size, self.early, self.strict = key, time, size_ms, early_ms, strict
-        self.start, self.add, self.flush = start, add, flush
+    ``known`` has a list for each window, the time when it is due first.  States
+    that are not small are in ``large``, under a number.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.windows = handle.getMapState("windows", "start long", "state string")
+        self.open = handle.getValueState("open", "windows binary")
+        self.large = handle.getMapState("large", "number long", "state binary")
+
+    def load(self) -> None:
+        found = self.open.get()
+        self.there = found is not None
+        self.timer, self.number, self.known = pickle.loads(bytes(found[0])) if found else (None, 0, {})
+
+    def save(self) -> None:
+        if self.known:
+            due = min(have[0] for have in self.known.values())
+            if self.timer is None or due < self.timer:
+                if self.timer is not None:
+                    self.handle.deleteTimer(self.timer)
+                self.handle.registerTimer(due)
+                self.timer = due
+            self.open.update((pickle.dumps((self.timer, self.number, self.known)),))
+        elif self.there:
+            self.open.clear()
+
+    def stored(self, number: int) -> bytes:
+        return bytes(self.large.getValue((number,))[0])
+
+    def close(self) -> None:
+        pass
+
+
+class _WindowedState(OpenWindows):
+    """A user's fold over tumbling windows, with accumulating early panes on an event-time grid.
+
+    Its windows, by their start: (time of the next pane, state as JSON, or null if it is large and stored under the start).
+    """
+
+    def __init__(self, time: str, size_ms: int, early_ms: int | None, start: Any, add: Callable, flush: Callable, strict: bool, names: list[str]):
+        self.time, self.size, self.early, self.strict, self.names = time, size_ms, early_ms, strict, names
+        self.start, self.add, self.flush = json.dumps(start), add, flush
+
+    def _next(self, after: int, start: int) -> int:
+        """The first time after ``after`` on the grid inside the window, else its end."""
+        end = start + self.size
+        return min(max(after, start) // self.early * self.early + self.early, end) if self.early else end
+
+    def _state(self, start: int) -> Any:
+        text = self.known[start][1]
+        return json.loads(self.stored(start).decode() if text is None else text)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
+        self.load()
+        states: dict[int, Any] = {}
         for part in rows:
             for row in part.sort_values(self.time, kind="stable").to_dict("records"):
                 ms = int(pd.Timestamp(row[self.time]).value // 1_000_000)
                 start = ms // self.size * self.size
                 if start + self.size <= mark or self.strict and ms < mark:
                     continue  # late
-                if self.windows.containsKey((start,)):
-                    state = json.loads(self.windows.getValue((start,))[0])
-                else:
-                    state = self.start
-                    self.handle.registerTimer(start + self.size)
-                    if self.early:
-                        for t in range(start - start % self.early + self.early, start + self.size, self.early):
-                            if t > mark:
-                                self.handle.registerTimer(t)
-                self.windows.updateValue((start,), (json.dumps(self.add(state, row)),))
+                if start not in states:
+                    states[start] = self._state(start) if start in self.known else json.loads(self.start)
+                states[start] = self.add(states[start], row)
+        for start, state in states.items():
+            text = json.dumps(state)
+            due, was = self.known.get(start, (self._next(mark, start), ""))
+            if len(text) > SMALL:
+                self.large.updateValue((start,), (text.encode(),))
+                text = None
+            elif was is None:
+                self.large.removeKey((start,))
+            self.known[start] = [due, text]
+        self.save()
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        for (start,), (state,) in list(self.windows.iterator()):
-            end = start + self.size
-            if not start < at <= end:
-                continue
-            final = at == end
-            out += [(key[0], start, end, final, *x) for x in self.flush(json.loads(state))]
-            if final:
-                self.windows.removeKey((start,))
+        mark = timerValues.getCurrentWatermarkInMs()
+        self.load()
+        self.timer = None
+        out: list[tuple] = []
+        for start in sorted(start for start, have in self.known.items() if have[0] <= mark):
+            have, end = self.known[start], start + self.size
+            while have[0] < end and have[0] <= mark:
+                out += [(key[0], start, end, False, *x) for x in self.flush(self._state(start))]
+                have[0] = self._next(have[0], start)
+            if end <= mark:
+                out += [(key[0], start, end, True, *x) for x in self.flush(self._state(start))]
+                if have[1] is None:
+                    self.large.removeKey((start,))
+                del self.known[start]
+            if out and (have[1] is None or len(out) >= ROWS):
+                yield pd.DataFrame(out, columns=self.names)
+                out = []
+        self.save()
         if out:
-            yield pd.DataFrame(out)
-
-    def close(self) -> None:
-        pass
+            yield pd.DataFrame(out, columns=self.names)
 
 
 def reduce_state_stream(
@@ -138,13 +201,5 @@ def reduce_state_stream(
     ms = timedelta(milliseconds=1)
     out = StructType().add(ds.df.schema[key]).add("start_ms", "long").add("end_ms", "long").add("final", "boolean")
     out = StructType(out.fields + StructType.fromDDL(schema).fields)
-    names = out.fieldNames()
-
-    class Named(_WindowedState):
-        def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-            for part in super().handleExpiredTimer(key=key, timerValues=timerValues, expiredTimerInfo=expiredTimerInfo):
-                part.columns = names
-                yield part
-
-    processor = Named(key, ds.time, size // ms, early // ms if early else None, start, add, flush, strict)
+    processor = _WindowedState(ds.time, size // ms, early // ms if early else None, start, add, flush, strict, out.fieldNames())
     return Dataset(ds.df.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime"))

@@ -1,9 +1,12 @@
 """A user's own state over any windows of a stream, flushed by triggers.
 
 A window's state is kept as parts, one for each micro-batch that had elements
-for it, and the parts are merged (``State.merge``) when the window is flushed or
-meets another one.  So a state that is a list is appended to, never read and
-written again for each element, and no more than one window is in memory.
+for it, and the parts are merged (``State.merge``) when the window is flushed.
+Small parts lie beside the list of the key's windows, are merged as they become
+many, and move to the store by themselves once they are large.  So a state that
+is a list is appended to, never read and written again for each element, and no
+more than one large window is in memory; windows that meet only join their lists
+of parts.
 
 Windowings: ``Tumbling``, ``Sliding``, ``Session`` and ``Global`` of
 ``millrace.functions.windows``, or one's own: an object with ``windows(row, ms)``,
@@ -18,21 +21,23 @@ their own time is behind the watermark; elements without a key are dropped.
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from datetime import timedelta
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from millrace.dataset import Dataset
 from millrace.functions.windows import Global, Session, Sliding, Tumbling, Windowing
 from millrace.operators.state import State
-from millrace.streaming.processors import _FAR_MS, use_rocksdb
+from millrace.streaming.processors import _FAR_MS, ROWS, SMALL, OpenWindows, use_rocksdb
 
 _MS = timedelta(milliseconds=1)
+#: Bytes of all small parts of a key; beyond them every part moves to the store.
+_ALL_SMALL = 1 << 20
 Span = tuple[int, int]
 
 
@@ -104,6 +109,15 @@ class _Sessions:
     def windows(self, row: dict, ms: int) -> list[Span]:
         return [(ms, ms + self.gap)]
 
+    def beside(self, w: Span, order: list[Span]) -> list[Span]:
+        """Of sorted sessions, none of which overlap, those that ``w`` overlaps."""
+        low = high = bisect_left(order, w)
+        if low and order[low - 1][1] > w[0]:
+            low -= 1
+        while high < len(order) and order[high][0] < w[1]:
+            high += 1
+        return order[low:high]
+
     def merge(self, windows: list[Span]) -> list[tuple[Span, list[Span]]]:
         out: list[tuple[Span, list[Span]]] = []
         for w in sorted(windows):
@@ -132,74 +146,71 @@ def _spans(windowing: Windowing | Any) -> Any:
     return _Everything() if isinstance(windowing, Global) else windowing
 
 
-class _Processor(StatefulProcessor):
+class _Processor(OpenWindows):
+    """Its windows: (time of the next flush, elements, parts in the store, small parts)."""
+
     def __init__(self, time: str, spans: Any, state: Callable[[], State], trigger: Trigger, strict: bool, purging: bool, names: list[str]):
         self.time, self.spans, self.state, self.trigger, self.strict, self.purging, self.names = time, spans, state, trigger, strict, purging, names
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "start long, end long", "n long, parts int, due long")
-        self.parts = handle.getMapState("parts", "start long, end long, part int", "state binary")
-
-    def _take(self, w: Span) -> tuple[int, list[State]]:
-        """A window's elements and its parts, which are removed."""
-        n, parts, _ = self.known.pop(w)
-        found = []
-        for k in range(parts):
-            found.append(pickle.loads(bytes(self.parts.getValue((*w, k))[0])))
-            self.parts.removeKey((*w, k))
-        self.open.removeKey(w)
-        return n, found
-
-    def _put(self, w: Span, n: int, states: list[State], mark: int) -> None:
-        """Adds parts to a window; a new one gets its timers."""
-        if w in self.known:
-            had, parts, due = self.known[w]
-        else:
-            had, parts, due = 0, 0, self._next(max(mark, w[0]), w)
-            self.handle.registerTimer(w[1])
-            if due < w[1]:
-                self.handle.registerTimer(due)
-        for k, one in enumerate(states):
-            self.parts.updateValue((*w, parts + k), (pickle.dumps(one),))
-        self._keep(w, (had + n, parts + len(states), due))
-
-    def _keep(self, w: Span, value: tuple[int, int, int]) -> None:
-        self.known[w] = value
-        self.open.updateValue(w, value)
-
     def _load(self) -> None:
-        """The key's open windows, read once."""
-        self.known = {tuple(k): tuple(v) for k, v in self.open.iterator()}
+        self.load()
+        self.small = sum(len(x) for have in self.known.values() for x in have[3])
 
     def _next(self, after: int, w: Span) -> int:
         at = self.trigger.next_time(after, w)
         return w[1] if at is None else at
 
-    def _whole(self, w: Span) -> State:
+    def _window(self, w: Span, mark: int) -> list:
+        if w not in self.known:
+            self.known[w] = [self._next(max(mark, w[0]), w), 0, [], []]
+        return self.known[w]
+
+    def _put(self, w: Span, n: int, one: State, mark: int) -> None:
+        """Adds a part to a window."""
+        have, part = self._window(w, mark), pickle.dumps(one)
+        have[1] += n
+        have[3].append(part)
+        self.small += len(part)
+        if self.small > _ALL_SMALL or sum(map(len, have[3])) > SMALL:
+            self._settle(have)
+
+    def _settle(self, have: list) -> None:
+        """Merges a window's small parts into one, which goes to the store if it is not small."""
+        self.small -= sum(map(len, have[3]))
+        part = have[3][0] if len(have[3]) == 1 else pickle.dumps(self._merge(have[3]))
+        if self.small + len(part) > _ALL_SMALL or len(part) > SMALL // 2:
+            self.large.updateValue((self.number,), (part,))
+            have[2].append(self.number)
+            self.number += 1
+            have[3] = []
+        else:
+            self.small += len(part)
+            have[3] = [part]
+
+    def _merge(self, parts: Iterable[bytes]) -> State:
         whole = self.state()
-        for k in range(self.known[w][1]):
-            whole.merge(pickle.loads(bytes(self.parts.getValue((*w, k))[0])))
+        for part in parts:
+            whole.merge(pickle.loads(part))
         return whole
 
-    def _flush(self, key: tuple, w: Span, final: bool, mark: int) -> list[tuple]:
-        whole = self._whole(w)
+    def _flush(self, key: tuple, w: Span, final: bool) -> list[tuple]:
+        have = self.known[w]
+        whole = self._merge(x for part in (map(self.stored, have[2]), have[3]) for x in part)
         out = [(key[0], *w, final, *x) for x in whole.flush()]
         whole.close()
         if final or self.purging:
-            n, parts, due = self.known[w]
-            for k in range(parts):
-                self.parts.removeKey((*w, k))
-            if final:
-                del self.known[w]
-                self.open.removeKey(w)
-            else:
-                self._keep(w, (n, 0, due))
+            for k in have[2]:
+                self.large.removeKey((k,))
+            self.small -= sum(map(len, have[3]))
+            have[2:] = [], []
+        if final:
+            del self.known[w]
         return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         self._load()
+        order = sorted(self.known)  # with those that are new, if windows merge
         new: dict[Span, tuple[int, State]] = {}
         out: list[tuple] = []
         for part in rows:
@@ -211,60 +222,75 @@ class _Processor(StatefulProcessor):
                     if w[1] <= mark:
                         continue
                     if self.spans.merge is not None:
-                        w = self._merged(w, new, mark)
+                        w = self._merged(w, order, new, mark)
                     n, one = new.get(w) or (0, self.state())
                     one.add(row)
                     new[w] = n + 1, one
-                    if self.trigger.after_element(self.known.get(w, (0,))[0] + n + 1):
-                        self._put(w, n + 1, [one], mark)
+                    if self.trigger.after_element((self.known[w][1] if w in self.known else 0) + n + 1):
+                        self._put(w, n + 1, one, mark)
                         del new[w]
-                        out += self._flush(key, w, False, mark)
+                        out += self._flush(key, w, False)
+                        if len(out) >= ROWS:
+                            yield pd.DataFrame(out, columns=self.names)
+                            out = []
         for w, (n, one) in new.items():
-            self._put(w, n, [one], mark)
+            self._put(w, n, one, mark)
+        self.save()
         if out:
             yield pd.DataFrame(out, columns=self.names)
 
-    def _merged(self, w: Span, new: dict[Span, tuple[int, State]], mark: int) -> Span:
+    def _merged(self, w: Span, order: list[Span], new: dict[Span, tuple[int, State]], mark: int) -> Span:
         """The window that ``w`` becomes part of; those that it joins are moved there."""
-        there = {*new, *self.known}
-        for whole, own in self.spans.merge([*(there - {w}), w]):
+        there = self.spans.beside(w, order) if isinstance(self.spans, _Sessions) else order
+        for whole, own in self.spans.merge([*(x for x in there if x != w), w]):
             if w not in own:
                 continue
             for x in own:
-                if x != whole and x in self.known:
-                    n, parts = self._take(x)
-                    self._put(whole, n, parts, mark)
-                if x != whole and x in new:
+                if x == whole:
+                    continue
+                if x in self.known:
+                    _, n, large, small = self.known.pop(x)
+                    have = self._window(whole, mark)
+                    have[1] += n
+                    have[2] += large
+                    have[3] += small
+                if x in new:
                     n, one = new.pop(x)
                     if whole in new:
                         new[whole][1].merge(one)
                         new[whole] = new[whole][0] + n, new[whole][1]
                     else:
                         new[whole] = n, one
-            return whole
+                at = bisect_left(order, x)
+                if order[at : at + 1] == [x]:
+                    del order[at]
+            w = whole
+            break
+        at = bisect_left(order, w)
+        if order[at : at + 1] != [w]:
+            insort(order, w)
         return w
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at, mark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        mark = timerValues.getCurrentWatermarkInMs()
         out: list[tuple] = []
         self._load()
-        for w, (_, _, due) in list(self.known.items()):
-            if due < w[1] and due <= mark:
-                while due < w[1] and due <= mark:
-                    out += self._flush(key, w, False, mark)
-                    due = self._next(due, w)
-                n, parts, _ = self.known[w]
-                self._keep(w, (n, parts, due))
-                if due < w[1]:
-                    self.handle.registerTimer(due)
-            if w[1] == at:
-                out += self._flush(key, w, True, mark)
+        self.timer = None
+        for w in sorted(w for w, have in self.known.items() if have[0] <= mark):
+            have = self.known[w]
+            large = bool(have[2])
+            while have[0] < w[1] and have[0] <= mark:
+                out += self._flush(key, w, False)
+                have[0] = self._next(have[0], w)
+            if w[1] <= mark:
+                out += self._flush(key, w, True)
+            if out and (large or len(out) >= ROWS):
+                yield pd.DataFrame(out, columns=self.names)
+                out = []
+        self.save()
         if out:
             yield pd.DataFrame(out, columns=self.names)
 
-    def close(self) -> None:
-        pass
-
 
 def reduce_windows(
     ds: Dataset, key: str, state: Callable[[], State], schema: str, windowing: Windowing | Any, trigger: Trigger | None = None, strict: bool = False, purging: bool = False
