@@ -197,3 +197,12 @@ def test_folds_of_large_states_do_not_share_their_start():
     for n in range(10):
         store.batch([(1, "x" * 1000), (11, "y"), (21, "z" * 1000 if n == 0 else "")])
     assert [r[4] for r in store.until(1_000)] == ["x" * 10_000, "y" * 10, "z" * 1000] and store.empty()
+
+
+def test_an_element_meets_only_the_sessions_beside_it():
+    spans, met = _spans(Session(3 * S)), []
+    merge, spans.merge = spans.merge, lambda windows: met.append(len(windows)) or merge(windows)
+    store = Store(_Processor("ts", spans, everything, AtEnd(), False, False, ["k", "start_ms", "end_ms", "final", "all"]))
+    store.batch(ROWS[::-1])
+    store.batch([(10 * w + 6, w) for w in range(100)])  # each joins the session before it
+    assert max(met) <= 3 and [r[1:3] for r in store.until(10_000)] == [(10_000 * w, 10_000 * w + 9_000) for w in range(100)] and store.empty()
