@@ -206,3 +206,12 @@ def test_an_element_meets_only_the_sessions_beside_it():
     store.batch(ROWS[::-1])
     store.batch([(10 * w + 6, w) for w in range(100)])  # each joins the session before it
     assert max(met) <= 3 and [r[1:3] for r in store.until(10_000)] == [(10_000 * w, 10_000 * w + 9_000) for w in range(100)] and store.empty()
+
+
+def test_each_batch_of_sliding_windows_makes_a_few_calls():
+    store = windowed(Sliding(40 * S, 10 * S))
+    for n in range(5):
+        calls = store.calls
+        store.batch([(t + n, v) for t, v in ROWS])
+        assert store.calls - calls <= 3 and len(store.timers) == 1
+    assert len(store.until(10_000)) == 103 and store.calls < 30 and store.empty()
